@@ -266,6 +266,7 @@ def distribution_shift(pre: DataFrame, post: DataFrame, value: str, bounded: boo
     return (
         gap.withColumn("_a", a.select(one).scalar())
         .withColumn("_b", b.select(one).scalar())
+        .where("_a IS NOT NULL AND _b IS NOT NULL")
         .select(
             (F.col("_b.median") - F.col("_a.median")).alias("delta_median"),
             (F.col("_b.iqr") - F.col("_a.iqr")).alias("delta_iqr"),
