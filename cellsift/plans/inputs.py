@@ -67,3 +67,110 @@ def metrics(t: Tables) -> DataFrame:
 
 def n_cells(t: Tables) -> int:
     return t.customer.count()
+
+
+# Graph: a gene is a brand seen in a region (its species), a type is a nation.
+# An edge exists where the brand's mean undiscounted share from that nation is high.
+ROWS = """ge AS (SELECT DISTINCT p_brand || '@' || lower(r_name) AS gene_id, p_brand AS name, lower(r_name) AS species,
+    CASE WHEN r_regionkey < 3 THEN 'Plant' ELSE 'Animal' END AS species_type, 'm' || right(p_brand, 1) AS marker_resource,
+    'd' || r_regionkey AS dataset FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+    JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  ont AS (SELECT 'O:' || n_nationkey AS ontology_id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'Unknown'
+      WHEN n_nationkey % 3 = 1 THEN r_name ELSE r_name || '|ASIA' END AS organ, 'Plant' AS species_type, 'cell' AS type
+    FROM nation JOIN region ON n_regionkey = r_regionkey),
+  mo AS (SELECT p_brand || '@' || lower(r_name) AS gene_id, 'O:' || n_nationkey AS ontology_id,
+      CASE WHEN n_nationkey = 7 THEN NULL ELSE round(avg(1 - l_discount), 6) END AS relation_confidence,
+      CASE WHEN right(p_brand, 1) = '1' THEN NULL ELSE 's' || right(p_brand, 1) END AS info_source
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+    JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    GROUP BY p_brand, r_name, n_nationkey HAVING round(avg(1 - l_discount), 6) >= 0.95),
+  rel AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT r_name, 'WORLD' FROM region),
+  rws AS (SELECT g.name AS gene, g.species, g.species_type AS gene_type, o.name AS cell_type, o.organ, o.ontology_id, o.species_type,
+    o.type AS ontology_type, relation_confidence AS confidence, info_source AS source
+    FROM mo JOIN ge g USING (gene_id) JOIN ont o USING (ontology_id))"""
+# Brand#n has the ortholog Brand#(26 - n) in the species of region n mod 5.
+ORTH = """orth AS (SELECT DISTINCT p_brand AS gene, lower(r_name) AS ref_species, 'Brand#' || (26 - substr(p_brand, 7)::INT) AS ref_gene
+  FROM part JOIN region ON r_regionkey = substr(p_brand, 7)::INT % 5)"""
+# Marker list of a cluster: its eight brands with most quantity.
+CG = """cg AS (SELECT cluster, gene, position FROM (SELECT cluster, gene_id AS gene,
+  row_number() OVER (PARTITION BY cluster ORDER BY sum(count) DESC, gene_id) AS position
+  FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2) WHERE position <= 8)"""
+HITS = """hits AS (SELECT gene, cell_type, organ, ontology_id, species_type, ontology_type, coalesce(confidence, 1) AS confidence, source,
+    'direct' AS source_path, NULL AS ref_gene, NULL AS ref_species FROM rws WHERE species = 'asia'
+  UNION ALL SELECT o.gene, cell_type, organ, ontology_id, species_type, ontology_type, coalesce(confidence, 1), source, 'ortholog', o.ref_gene, o.ref_species
+    FROM rws JOIN orth o ON rws.gene = o.ref_gene AND rws.species = o.ref_species)"""
+
+
+def _sold(t: Tables) -> DataFrame:
+    """Brand, nation and region of every line; the dimension tables are joined last."""
+    nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return (
+        t.lineitem.select("l_partkey", "l_suppkey", "l_discount")
+        .join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("p_brand", "s_nationkey")
+        .agg(F.avg(1 - F.col("l_discount")).alias("share"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .withColumn("gene_id", F.concat("p_brand", F.lit("@"), F.lower("r_name")))
+    )
+
+
+def kg_gene(t: Tables) -> DataFrame:
+    return _sold(t).select(
+        "gene_id", F.col("p_brand").alias("name"), F.lower("r_name").alias("species"),
+        F.when(F.col("r_regionkey") < 3, "Plant").otherwise("Animal").alias("species_type"),
+        F.expr("'m' || right(p_brand, 1)").alias("marker_resource"), F.expr("'d' || r_regionkey").alias("dataset"),
+    ).distinct()
+
+
+def kg_ontology(t: Tables) -> DataFrame:
+    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.expr("'O:' || n_nationkey").alias("ontology_id"), F.col("n_name").alias("name"),
+        F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN r_name ELSE r_name || '|ASIA' END").alias("organ"),
+        F.lit("Plant").alias("species_type"), F.lit("cell").alias("type"),
+    )
+
+
+def kg_marker_of(t: Tables) -> DataFrame:
+    return _sold(t).withColumn("share", F.round("share", 6)).where("share >= 0.95").select(
+        "gene_id", F.expr("'O:' || n_nationkey").alias("ontology_id"),
+        F.expr("IF(n_nationkey = 7, NULL, share)").alias("relation_confidence"),
+        F.expr("IF(right(p_brand, 1) = '1', NULL, 's' || right(p_brand, 1))").alias("info_source"),
+    )
+
+
+def kg_relation(t: Tables) -> DataFrame:
+    up = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
+    return up.unionAll(t.region.select("r_name", F.lit("WORLD")))
+
+
+def kg_rows(t: Tables) -> DataFrame:
+    from cellsift.operators.knowledge import marker_rows
+
+    return marker_rows(kg_gene(t), kg_marker_of(t), kg_ontology(t))
+
+
+def orthologs(t: Tables) -> DataFrame:
+    b = t.part.select("p_brand").distinct()
+    return b.join(t.region, F.col("r_regionkey") == F.expr("CAST(substr(p_brand, 7) AS INT) % 5")).select(
+        F.col("p_brand").alias("gene"), F.lower("r_name").alias("ref_species"),
+        F.expr("'Brand#' || (26 - CAST(substr(p_brand, 7) AS INT))").alias("ref_gene"))
+
+
+def cluster_genes(t: Tables) -> DataFrame:
+    from pyspark.sql.window import Window as W
+
+    sums = matrix(t).join(cells(t), "cell_id").groupBy("cluster", F.col("gene_id").alias("gene")).agg(
+        F.sum("count").alias("s"))
+    w = W.partitionBy("cluster").orderBy(F.col("s").desc(), "gene")
+    return sums.select("cluster", "gene", F.row_number().over(w).alias("position")).where("position <= 8")
+
+
+def hits(t: Tables) -> DataFrame:
+    from cellsift.operators.knowledge import all_hits, lookup_markers, lookup_via_orthologs
+
+    genes, rows = t.part.select(F.col("p_brand").alias("gene")).distinct(), kg_rows(t)
+    return all_hits(
+        lookup_markers(genes, rows, species="asia"), lookup_via_orthologs(genes, orthologs(t), rows))
