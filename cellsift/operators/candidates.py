@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cellsift.functions.scalars import organ_class, organ_match, organ_priority
-from cellsift.operators.distribution import describe, entropy
+from cellsift.operators.distribution import describe
 
 
 def rank_candidates(cluster_genes: DataFrame, hits: DataFrame, organ: str | None = None, by=("cluster",)) -> DataFrame:
@@ -111,13 +111,17 @@ def path_hit_stats(hits: DataFrame) -> DataFrame:
 
 def candidate_stats(candidates: DataFrame, by=("cluster",)) -> DataFrame:
     """Per cluster: candidates, entropy of their support, ties with the first."""
-    by = list(by)
-    top = candidates.where("rank = 1").select(*by, F.col("marker_count").alias("_top"))
-    h = entropy(candidates, "marker_count", by)
-    counts = candidates.join(top, by).groupBy(*by).agg(
-        F.count("*").alias("n_candidates"), F.count_if(F.col("marker_count") == F.col("_top")).alias("n_tied_at_top")
+    c = F.col("marker_count").cast("double")
+    t = F.sum(c)
+    h = (F.log(t) - F.sum(c * F.log(c)) / t) / F.log(F.lit(2.0))
+    # A cluster has one row per type it hits, so the list of counts is small.
+    wide = candidates.groupBy(*by).agg(
+        F.count("*").alias("n_candidates"),
+        F.collect_list("marker_count").alias("_counts"),
+        F.max(F.when(F.col("rank") == 1, F.col("marker_count"))).alias("_top"),
+        F.greatest(h, F.lit(0.0)).alias("entropy"),
     )
-    return counts.join(h, by)
+    return wide.select(*by, "n_candidates", F.expr("size(filter(_counts, x -> x = _top))").alias("n_tied_at_top"), "entropy")
 
 
 def candidate_totals(candidates: DataFrame, by=("cluster",)) -> DataFrame:
@@ -134,24 +138,26 @@ def gap_metrics(candidates: DataFrame, clusters: DataFrame, ancestors: DataFrame
     status ``no_candidates``. ``ancestors`` is (name, ancestor).
     """
     by = list(by)
-    first = candidates.where("rank = 1").select(
-        *by, F.col("cell_type").alias("first_type"), F.col("marker_count").alias("first_count"),
-        F.col("mean_confidence").alias("first_confidence"),
-    )
-    second = candidates.where("rank = 2").select(
-        *by, F.col("cell_type").alias("second_type"), F.col("marker_count").alias("second_count"),
-        F.col("mean_confidence").alias("second_confidence"),
-    )
-    tally = candidates.join(first.select(*by, "first_count"), by).groupBy(*by).agg(
+
+    def at(rank: int, c: str):
+        return F.max(F.when(F.col("rank") == rank, F.col(c)))
+
+    # One pass; a cluster has one row per type it hits, so the list of counts is small.
+    wide = candidates.groupBy(*by).agg(
+        *[
+            at(rank, c).alias(f"{name}_{out}")
+            for rank, name in ((1, "first"), (2, "second"))
+            for c, out in (("cell_type", "type"), ("marker_count", "count"), ("mean_confidence", "confidence"))
+        ],
         F.count("*").alias("n_candidates"),
-        F.count_if(F.col("marker_count") == F.col("first_count")).alias("n_tied_at_first"),
         F.sum("marker_count").alias("_support"),
-    )
+        F.collect_list("marker_count").alias("_counts"),
+    ).withColumn("n_tied_at_first", F.expr("size(filter(_counts, x -> x = first_count))"))
     # Ancestor sets are bounded by the depth of the hierarchy.
     up = ancestors.groupBy("name").agg(F.collect_set("ancestor").alias("_up"))
     base = (
         clusters.select(*by).distinct()
-        .join(tally, by, "left").join(first, by, "left").join(second, by, "left")
+        .join(wide, by, "left")
         .join(up.select(F.col("name").alias("first_type"), F.col("_up").alias("_fa")), "first_type", "left")
         .join(up.select(F.col("name").alias("second_type"), F.col("_up").alias("_sa")), "second_type", "left")
     )

@@ -174,3 +174,95 @@ def hits(t: Tables) -> DataFrame:
     genes, rows = t.part.select(F.col("p_brand").alias("gene")).distinct(), kg_rows(t)
     return all_hits(
         lookup_markers(genes, rows, species="asia"), lookup_via_orthologs(genes, orthologs(t), rows))
+
+
+# Ground truth and three runs of predicted labels on a nation-like clustering of the customers.
+EVAL = """obs AS (SELECT c_custkey AS cell_id, CAST((c_nationkey + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END) % 25 AS VARCHAR) AS cluster,
+    'N' || lower(substr(n_name, 2)) AS true_type, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  od AS (SELECT cluster, n_name, r_name, true_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster) AS total,
+    row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, n_name) AS k FROM obs GROUP BY 1, 2, 3, 4),
+  ann AS (SELECT 'default' AS run, cluster, n_name AS label, 'high' AS confidence, 'decisive' AS status FROM od WHERE k = 1
+    UNION ALL SELECT 'rules', cluster, CASE WHEN n / total < 0.75 THEN r_name ELSE n_name END, CASE WHEN n / total < 0.75 THEN 'low' ELSE 'medium' END, 'decisive' FROM od WHERE k = 1
+    UNION ALL SELECT 'review', o.cluster, CASE WHEN o.cluster = '3' THEN 'unknown' WHEN o.cluster::INT % 5 = 0 THEN coalesce(s.n_name, o.n_name) ELSE o.true_type END,
+      CASE WHEN o.cluster = '3' THEN 'low' ELSE 'medium' END, CASE WHEN o.cluster = '3' THEN 'unknown' ELSE 'decisive' END
+      FROM od o LEFT JOIN (SELECT * FROM od WHERE k = 2) s USING (cluster) WHERE o.k = 1 AND o.cluster <> '7'),
+  pins AS (SELECT 'N' || lower(substr(n_name, 2)) AS label, CASE WHEN n_nationkey % 6 = 5 THEN r_name ELSE n_name END AS node FROM nation JOIN region ON n_regionkey = r_regionkey),
+  anc AS (SELECT n_name AS name, r_name AS ancestor FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'WORLD' FROM nation
+    UNION ALL SELECT r_name, 'WORLD' FROM region),
+  ev AS (SELECT r.run, o.cell_id, o.cluster, CASE WHEN a.run IS NULL THEN 'unknown' ELSE a.label END AS raw, coalesce(a.confidence, 'low') AS confidence,
+    coalesce(a.status, 'unknown') AS status, o.true_type AS "true" FROM obs o CROSS JOIN (SELECT DISTINCT run FROM ann) r
+    LEFT JOIN ann a ON a.run = r.run AND a.cluster = o.cluster),
+  rp AS (SELECT p.raw, p."true", nb.node AS node_b, CASE WHEN lower(raw) <> 'unknown' THEN na.name END AS node_a FROM (SELECT DISTINCT raw, "true" FROM ev) p
+    LEFT JOIN pins nb ON nb.label = p."true"
+    LEFT JOIN (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT 'WORLD') na ON lower(na.name) = lower(p.raw)),
+  rl AS (SELECT raw, "true", node_a, node_b, mapped_true, relation, CASE WHEN relation IN ('exact', 'synonym', 'subtype') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy_weight,
+    (CASE relation WHEN 'exact' THEN 1.0 WHEN 'synonym' THEN 1.0 WHEN 'subtype' THEN 1.5 WHEN 'supertype' THEN 0.5 ELSE 0 END)::DOUBLE AS hierarchy_weight FROM (
+    SELECT *, (SELECT min(label) FROM pins WHERE lower(pins.node) = lower(node_a)) AS mapped_true, CASE WHEN node_a IS NULL OR node_b IS NULL THEN 'unmatched' WHEN node_a = node_b AND raw = "true" THEN 'exact'
+      WHEN node_a = node_b THEN 'synonym' WHEN EXISTS (SELECT 1 FROM anc WHERE name = node_a AND ancestor = node_b) THEN 'subtype'
+      WHEN EXISTS (SELECT 1 FROM anc WHERE name = node_b AND ancestor = node_a) THEN 'supertype' ELSE 'unrelated' END AS relation FROM rp)),
+  sc AS (SELECT * FROM ev JOIN rl USING (raw, "true"))"""
+TYPE_F1 = """ty AS (SELECT run, "true" AS type, sum(hierarchy_weight) AS tp, (count(*) FILTER (hierarchy_weight = 0))::DOUBLE AS fn FROM sc GROUP BY 1, 2),
+  fp AS (SELECT run, mapped_true AS type, count(*)::DOUBLE AS fp FROM sc WHERE hierarchy_weight = 0 AND mapped_true <> "true" GROUP BY 1, 2),
+  f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (SELECT run, type, tp, fn, coalesce(fp, 0) AS fp,
+    coalesce(tp / nullif(tp + coalesce(fp, 0), 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM ty LEFT JOIN fp USING (run, type)))"""
+PURITY = """pt AS (SELECT run, cluster, "true", count(*) AS n, count(*) FILTER (accuracy_weight > 0) AS ok, min(raw) AS raw FROM sc GROUP BY 1, 2, 3),
+  pu AS (SELECT run, cluster, sum(n)::BIGINT AS n_cells, min(raw) AS predicted, sum(ok)::BIGINT AS accurate_cells,
+    arg_max("true", n * 1000 - k) AS top_true, max(n) AS top_true_n, max(n) / sum(n) AS purity FROM
+    (SELECT *, row_number() OVER (PARTITION BY run, cluster ORDER BY "true") AS k FROM pt) GROUP BY 1, 2)"""
+
+
+def obs(t: Tables) -> DataFrame:
+    nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("cell_id"),
+        F.expr("CAST((c_nationkey + IF(c_custkey % 4 = 0, 1, 0)) % 25 AS string)").alias("cluster"),
+        F.initcap("n_name").alias("true_type"), "n_name", "r_name")
+
+
+def annotations(t: Tables) -> DataFrame:
+    from pyspark.sql.window import Window as W
+
+    counts = obs(t).groupBy("cluster", "n_name", "r_name", "true_type").agg(F.count("*").alias("n"))
+    total = counts.groupBy("cluster").agg(F.sum("n").alias("total"))
+    w = W.partitionBy("cluster").orderBy(F.col("n").desc(), "n_name")
+    two = (
+        counts.withColumn("k", F.row_number().over(w)).where("k <= 2").join(total, "cluster").groupBy("cluster")
+        .agg(F.max(F.expr("IF(k = 1, struct(n_name, r_name, true_type, n / total AS share), NULL)")).alias("a"),
+             F.max(F.expr("IF(k = 2, n_name, NULL)")).alias("second"))
+    )
+    runs = two.selectExpr("cluster", """stack(3, 'default', a.n_name, 'high', 'decisive',
+        'rules', IF(a.share < 0.75, a.r_name, a.n_name), IF(a.share < 0.75, 'low', 'medium'), 'decisive',
+        'review', CASE WHEN cluster = '3' THEN 'unknown' WHEN CAST(cluster AS INT) % 5 = 0 THEN coalesce(second, a.n_name) ELSE a.true_type END,
+          IF(cluster = '3', 'low', 'medium'), IF(cluster = '3', 'unknown', 'decisive')) AS (run, label, confidence, status)""")
+    return runs.where("NOT (run = 'review' AND cluster = '7')")
+
+
+def pins(t: Tables) -> DataFrame:
+    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.initcap("n_name").alias("label"), F.expr("IF(n_nationkey % 6 = 5, r_name, n_name)").alias("node"))
+
+
+def evaluated_cells(t: Tables) -> DataFrame:
+    from cellsift.operators.evaluate import join_evaluation
+
+    return join_evaluation(obs(t), obs(t), annotations(t))
+
+
+def relations(t: Tables, hierarchy: bool = True, counts: DataFrame | None = None) -> DataFrame:
+    from cellsift.operators.evaluate import label_relation
+    from cellsift.operators.knowledge import ancestors
+
+    pairs = (evaluated_cells(t) if counts is None else counts).select("raw", "true").distinct()
+    aliases = t.region.select(F.lower("r_name").alias("alias"), F.col("r_name").alias("node"))
+    nodes = t.nation.select(F.col("n_name").alias("name")).union(t.region.select("r_name")).union(
+        t.region.select(F.lit("WORLD"))).distinct()
+    if not hierarchy:
+        return label_relation(pairs, pins(t), aliases)
+    return label_relation(pairs, pins(t), aliases, nodes, ancestors(nodes, kg_relation(t), 3))
+
+
+def scored(t: Tables) -> DataFrame:
+    from cellsift.operators.evaluate import count_cells, tally
+
+    counts = count_cells(evaluated_cells(t))
+    return tally(counts, relations(t, counts=counts))

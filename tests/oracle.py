@@ -89,7 +89,7 @@ def main() -> int:
             lines = [x for x in str(e).splitlines() if x.strip()]
             problem = f"{type(e).__name__}: {' | '.join(lines[:3])[:500]}"
         bad += bool(problem)
-        print(f"{'ok ' if not problem else 'BAD'} {name} {time.time() - start:.1f}s {'' if name in sqls else '(no sql)'} {problem}"[:900], flush=True)
+        print(f"{'ok ' if not problem else 'BAD'} {name} {time.time() - start:.1f}s {'' if name in sqls else '(no sql)'} {problem}"[:420], flush=True)
     print("bad:", bad)
     return bad
 
