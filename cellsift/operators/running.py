@@ -30,13 +30,14 @@ def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str | Column],
-    folds: Mapping[str, tuple[str, str]],
+    folds: Mapping[str, tuple],
     totals: Mapping[str, tuple[str, str]] | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Add running values (row itself included) and whole-group totals.
 
-    ``folds`` and ``totals`` map an output name to ``(sum|min|max|last, column)``.
+    ``folds`` and ``totals`` map an output name to ``(sum|min|max|last, column)``;
+    a fold ``(fn, column, "before")`` leaves the row itself out.
     ``order`` must be unique within a group, the ``by`` columns not null.
 
     A plain window would sort every group in one task. Here rows are range
@@ -46,38 +47,48 @@ def running(
     caller's groups cannot grow with the data, and uses the plain window.
     """
     by, totals = list(by), dict(totals or {})
+    folds = {out: (*spec, "upto")[:3] for out, spec in folds.items()}
+
+    def frames(keys):
+        w = W.partitionBy(*keys).orderBy(*order)
+        return {"upto": w.rowsBetween(W.unboundedPreceding, 0), "before": w.rowsBetween(W.unboundedPreceding, -1)}
+
     if bounded:
-        upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        whole = W.partitionBy(*by)
+        frame, whole = frames(by), W.partitionBy(*by)
         return df.select(
             "*",
-            *[_FOLD[fn](c).over(upto).alias(out) for out, (fn, c) in folds.items()],
+            *[_FOLD[fn](c).over(frame[to]).alias(out) for out, (fn, c, to) in folds.items()],
             *[_FOLD[fn](c).over(whole).alias(out) for out, (fn, c) in totals.items()],
         )
 
     ranged = durable(df.repartitionByRange(*by, *order)).withColumn("_chunk", F.spark_partition_id())
     keys = [*by, "_chunk"]
-    upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    frame = frames(keys)
     here = ranged.select(
-        "*", *[_FOLD[fn](c).over(upto).alias(f"_in_{out}") for out, (fn, c) in folds.items()]
+        "*", *[_FOLD[fn](c).over(frame[to]).alias(f"_in_{out}") for out, (fn, c, to) in folds.items()]
     )
+    # What a stretch hands on is the fold over all of its rows. A last value is
+    # the one on the latest row that has it.
+    spot = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+
+    def whole_stretch(fn, c):
+        if fn == "last":
+            return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_spot")))
+        return _FOLD[fn](c)
 
-    # The value a stretch hands on is the one on its last row.
-    place = F.struct(*[F.col(f"_in_{out}") for out in folds])
-    spot = W.partitionBy(*keys).orderBy(*order)
-    ends = here.withColumn("_spot", F.row_number().over(spot)).groupBy(*keys).agg(
-        F.max_by(place, "_spot").alias("_end"),
+    ends = (ranged.withColumn("_spot", spot) if any(fn == "last" for fn, _, _ in folds.values()) else ranged).groupBy(*keys).agg(
+        *[whole_stretch(fn, c).alias(f"_end_{out}") for out, (fn, c, _) in folds.items()],
         *[_FOLD[fn](c).alias(f"_all_{out}") for out, (fn, c) in totals.items()],
     )
     earlier = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
     carry = ends.select(
         *keys,
-        *[_FOLD[fn](F.col(f"_end._in_{out}")).over(earlier).alias(f"_pre_{out}") for out, (fn, _) in folds.items()],
+        *[_FOLD[fn](F.col(f"_end_{out}")).over(earlier).alias(f"_pre_{out}") for out, (fn, _, _) in folds.items()],
         *[_FOLD[fn](F.col(f"_all_{out}")).over(whole).alias(out) for out, (fn, _) in totals.items()],
     )
     return here.join(carry, keys).select(
         *df.columns,
-        *[_merge(fn, F.col(f"_pre_{out}"), F.col(f"_in_{out}")).alias(out) for out, (fn, _) in folds.items()],
+        *[_merge(fn, F.col(f"_pre_{out}"), F.col(f"_in_{out}")).alias(out) for out, (fn, _, _) in folds.items()],
         *totals,
     )

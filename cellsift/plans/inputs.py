@@ -266,3 +266,65 @@ def scored(t: Tables) -> DataFrame:
 
     counts = count_cells(evaluated_cells(t))
     return tally(counts, relations(t, counts=counts))
+
+
+# Run log: every event is a log record of its user's run.
+def _decision_sql(k: str) -> str:
+    """The decision of an event: one of its point's names, or 'bogus'."""
+    from cellsift.functions.fixed import DECISIONS
+
+    cases = []
+    for dp, (_, names) in DECISIONS.items():
+        n = len(names) + (1 if dp in ("qc_threshold", "candidate_gap") else 0)
+        picks = " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(names))
+        cases.append(f"WHEN '{dp}' THEN CASE {k} % {n} {picks} ELSE 'bogus' END")
+    return "CASE dp " + " ".join(cases) + " ELSE 'bogus' END"
+
+
+def _point_sql(k: str) -> str:
+    from cellsift.functions.fixed import DECISIONS
+
+    return f"CASE {k} % 15 " + " ".join(f"WHEN {i} THEN '{dp}'" for i, dp in enumerate(DECISIONS)) + " ELSE 'bogus_point' END"
+
+
+_LOG_FIELDS = """'u' || (user_id // 50) AS run, event_id AS line, k, v,
+    CASE WHEN k = 0 THEN 'session_start' WHEN k = 1 THEN 'session_end' WHEN k = 2 THEN 'bogus' WHEN event_type IN ('view', 'error') THEN 'exec' ELSE 'judgment' END AS type"""
+LOG = f"""raw AS (SELECT event_id, user_id, event_type, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS v, value FROM events),
+  lg0 AS (SELECT {_LOG_FIELDS}, value, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, {_point_sql('k')} AS dp FROM raw),
+  lg AS (SELECT run, line, k, v, type, ts, value, row_number() OVER (PARTITION BY run ORDER BY line) + CASE WHEN k > 95 THEN 1 ELSE 0 END AS seq,
+    CASE WHEN type = 'exec' THEN CASE WHEN k % 3 = 0 THEN 'step4_rank.rank_candidates#' ELSE 'step1_prepare.leiden_cluster#' END || (k % 8) END AS run_id,
+    CASE WHEN type = 'judgment' THEN dp END AS decision_point, CASE WHEN type = 'judgment' THEN CASE WHEN k % 2 = 0 THEN 'session' ELSE 'cluster' END END AS scope_type,
+    CASE WHEN type = 'judgment' AND k % 5 <> 0 THEN CAST(k % 9 AS VARCHAR) END AS cluster_id,
+    CASE WHEN type = 'judgment' THEN CASE WHEN k % 3 = 0 THEN 'step4_rank.rank_candidates#' ELSE 'step1_prepare.leiden_cluster#' END || (v % 8) END AS run_ref,
+    CASE WHEN type = 'judgment' THEN {_decision_sql('v')} END AS decision, CASE WHEN type = 'judgment' AND k % 7 <> 0 THEN 'high' END AS confidence,
+    CASE WHEN type = 'judgment' THEN CASE WHEN k % 13 = 0 THEN '  ' ELSE 'because' END END AS reasoning FROM lg0)"""
+
+
+def run_log(t: Tables) -> DataFrame:
+    from cellsift.operators.running import running
+
+    raw = t.events.select(
+        F.expr("'u' || floor(user_id / 50)").alias("run"), F.col("event_id").alias("line"), "event_type", "value",
+        F.get_json_object("props", "$.k").cast("long").alias("k"), F.floor("value").alias("v"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    typed = raw.withColumns({
+        "type": F.expr("""CASE WHEN k = 0 THEN 'session_start' WHEN k = 1 THEN 'session_end' WHEN k = 2 THEN 'bogus'
+            WHEN event_type IN ('view', 'error') THEN 'exec' ELSE 'judgment' END"""),
+        "dp": F.expr(_point_sql("k")), "_one": F.lit(1).cast("long")})
+    numbered = running(typed, ["run"], ["line"], {"_k": ("sum", "_one")})
+    step = "IF(k % 3 = 0, 'step4_rank.rank_candidates#', 'step1_prepare.leiden_cluster#')"
+    return numbered.selectExpr(
+        "run", "line", "k", "v", "_k + IF(k > 95, 1, 0) AS seq", "ts", "type",
+        "IF(type = 'session_start', run, NULL) AS session_id",
+        f"IF(type = 'exec', {step} || (k % 8), NULL) AS run_id",
+        "IF(type = 'exec', '{}', NULL) AS parameters",
+        """IF(type = 'exec', to_json(named_struct('n_clusters', k % 12, 'n_singleton', k % 5, 'silhouette_overall', named_struct('mean', value),
+            'n_clusters_in_range_10_50', v, 'subcluster_silhouette', named_struct('mean', value))), NULL) AS metrics""",
+        "IF(type = 'judgment', dp, NULL) AS decision_point",
+        "IF(type = 'judgment', named_struct('type', IF(k % 2 = 0, 'session', 'cluster'), 'cluster_id', IF(k % 5 <> 0, CAST(k % 9 AS STRING), NULL)), NULL) AS scope",
+        f"IF(type = 'judgment', {step} || (v % 8), NULL) AS run_ref",
+        """IF(type = 'judgment', array(named_struct('path', 'step4_rank.per_cluster.' || (k % 9) || '.first_count', 'value', IF(k % 11 = 0, NULL, CAST(v AS STRING))),
+            named_struct('path', 'step1_prepare.qc.' || (k % 4), 'value', '1')), NULL) AS inputs""",
+        f"IF(type = 'judgment', named_struct('decision', {_decision_sql('v')}, 'confidence', IF(k % 7 <> 0, 'high', NULL), 'action', 'proceed'), NULL) AS output",
+        "IF(type = 'judgment', IF(k % 13 = 0, '  ', 'because'), NULL) AS reasoning",
+        "IF(type = 'session_end' AND v % 2 = 0, 'done', NULL) AS final_summary")
