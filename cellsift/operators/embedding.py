@@ -329,7 +329,7 @@ def _ranks_among(asked: DataFrame, pts: DataFrame, k: int, block: int = 1024) ->
                 for one in q:
                     ids.append(rid)
                     nbrs.append(one["nbr"])
-                    closer.append(int(((row < one["_d"]) | ((row == one["_d"]) & (other < one["nbr"]))).sum()))
+                    closer.append(int(((row < one["_d"] - 1e-9) & (other != one["nbr"])).sum()))
         return pd.DataFrame({"id": ids, "nbr": nbrs, "closer": closer})
 
     found = tag(asked, "_l", "_r").groupBy("_l", "_r").cogroup(tag(pts.select("id", "x"), "_r", "_l").groupBy("_l", "_r")).applyInPandas(count, schema)
