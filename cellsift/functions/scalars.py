@@ -70,7 +70,7 @@ def strip_seq_id(c: str | Column) -> Column:
 
 def organ_tokens(field: str | Column) -> Column:
     """``Stem|Root|Unknown`` -> [Stem, Root]."""
-    parts = F.transform(F.split(F.coalesce(col(field), F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(col(field), F.lit("")), r"\|"), lambda p: F.trim(p))
     return F.filter(parts, lambda t: (t != "") & (t != "Unknown"))
 
 

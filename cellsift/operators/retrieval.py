@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsift.functions.scalars import tokens
+from cellsift.session import durable
 
 K1, B = 1.5, 0.75
 
@@ -32,6 +33,8 @@ def bm25_topk(docs: DataFrame, query: str, k: int = 5, tags: Sequence[str] | Non
     counted = held.select(
         "id", F.size("_t").alias("_dl"),
         *[(F.size("_t") - F.size(F.array_remove("_t", q))).alias(f"_f{i}") for i, q in enumerate(terms)])
+    # The texts are read and cut once; what is kept is a few numbers per document.
+    counted = durable(counted)
     stats = counted.agg(F.struct(
         F.count("*").alias("n"), F.greatest(F.avg("_dl"), F.lit(1.0)).alias("avgdl"),
         *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])).scalar()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellsift.functions.fixed import HIERARCHY_WEIGHT
 from cellsift.operators.evaluate import f1, first_entries, weight
+from cellsift.session import durable
 
 # The searched thresholds.
 GRID = {
@@ -71,7 +72,8 @@ def threshold_search(features: DataFrame, tops: DataFrame, entries: DataFrame, g
 
     ``tops`` is (cluster, true); combinations are ordered by strict, then relaxed.
     """
-    base = (
+    # One row per cluster, read by three aggregates over the grid.
+    base = durable(
         features.where("first_type IS NOT NULL")
         .join(tops.select("cluster", "true"), "cluster")
         .join(first_entries(entries).withColumnRenamed("predicted", "first_type"), "first_type", "left")

@@ -26,12 +26,13 @@ NOTE_SCHEMA = "note_id string, ts string, session_id string, project_id string,
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per non-blank line; a line that is no JSON keeps its text in ``_bad``."""
     full = T._parse_datatype_string(schema).add(BAD, T.StringType())
-    return spark.read.schema(full).option("columnNameOfCorruptRecord", BAD).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": BAD}).alias("j"), F.input_file_name().alias("_file")).select("j.*", "_file")
 
 
 def split_bad(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines)."""
-    return rows.where(F.col(BAD).isNull()).drop(BAD), rows.where(F.col(BAD).isNotNull()).select(BAD)
+    return rows.where(F.col(BAD).isNull()).drop(BAD, "_file"), rows.where(F.col(BAD).isNotNull()).select(BAD)
 
 
 def count_bad(rows: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFram
 
     The line is the seq where there is one; it orders the records of a run.
     """
-    good, _ = split_bad(read_jsonl(spark, path, LOG_SCHEMA).withColumn("run", F.lit(run) if run else F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)))
+    good, _ = split_bad(read_jsonl(spark, path, LOG_SCHEMA).withColumn("run", F.lit(run) if run else F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)))
     return good.withColumn("line", F.col("seq"))
 
 
@@ -199,7 +200,7 @@ _ENTRY = "struct<label:string,confidence:string,status:string>"
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(cluster, label, confidence, status); a cluster that lacks one of them is an error."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     inner = F.coalesce(F.get_json_object("value", "$.annotations"), F.col("value"))
     rows = doc.select(F.explode(F.from_json(inner, f"map<string,{_ENTRY}>")).alias("cluster", "e")).select("cluster", "e.*")
     blank = [r["cluster"] for r in rows.where("coalesce(label, '') = '' OR coalesce(confidence, '') = '' OR coalesce(status, '') = ''").limit(10).collect()]
@@ -211,7 +212,7 @@ def load_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _text_map(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     inner = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in keys])
     return doc.select(F.explode(F.from_json(inner, "map<string,string>")).alias("k", "v")).where("trim(coalesce(v, '')) <> ''").select("k", F.trim("v").alias("v"))
 

@@ -51,7 +51,7 @@ def stream_latest(stream: DataFrame) -> DataFrame:
 
 
 class _Gaps(StatefulProcessor):
-    """Per run: the seq ranges seen so far; a range that opens beyond the last one is a gap."""
+    """Per run: the last seq seen; a record that does not follow it is a gap."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._top = handle.getValueState("top", "top long")
