@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def running(
 
     ``folds`` and ``totals`` map an output name to ``(sum|min|max|last, column)``;
     a fold ``(fn, column, "before")`` leaves the row itself out.
-    ``order`` must be unique within a group, the ``by`` columns not null.
+    ``order`` must be unique within a group.
 
     A plain window would sort every group in one task. Here rows are range
     partitioned by ``by`` and ``order``, so a hot group spans many partitions;
@@ -87,7 +88,10 @@ def running(
         *[_FOLD[fn](F.col(f"_end_{out}")).over(earlier).alias(f"_pre_{out}") for out, (fn, _, _) in folds.items()],
         *[_FOLD[fn](F.col(f"_all_{out}")).over(whole).alias(out) for out, (fn, _) in totals.items()],
     )
-    return here.join(carry, keys).select(
+    # Null is a group like any other.
+    carry = carry.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    return here.join(carry, same).select(
         *df.columns,
         *[_merge(fn, F.col(f"_pre_{out}"), F.col(f"_in_{out}")).alias(out) for out, (fn, _, _) in folds.items()],
         *totals,

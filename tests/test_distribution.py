@@ -92,6 +92,12 @@ def test_running_folds_cross_partitions(spark, bounded):
         np.testing.assert_array_equal(part["lb"].astype(float), last.shift())
 
 
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    got = {r["g"]: (r["n"], r["median"]) for r in dist.describe(df, "v", ["g"]).collect()}
+    assert got == {None: (2, 2.0), "a": (1, 5.0)}
+
+
 def test_tails_against_published_values(spark):
     assert tails.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert tails.t_two_sided(12.706, 1) == pytest.approx(0.05, abs=1e-4)
