@@ -112,7 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     s = slots.select(F.col("source").alias("slot_source"), F.col("block").alias("slot_block"), "words")
     met = touched.join(s, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")), "left")
     begin = F.col("block") * block
-    part = F.least(F.col("start") + F.col("size"), begin + F.col("words")) - F.greatest("start", begin)
+    part = F.least(F.col("start") + F.col("size"), begin + F.coalesce("words", F.lit(0))) - F.greatest("start", begin)
     took = met.groupBy("id", "source", "start", "size", *keep).agg(F.coalesce(F.sum(F.greatest(part, F.lit(0))), F.lit(0)).alias("taken"))
     none = sized.filter("size = 0").select("id", "source", "size", F.lit(0).cast("long").alias("taken"), *keep)
     every = took.select("id", "source", "size", "taken", *keep).unionByName(none)

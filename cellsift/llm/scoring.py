@@ -40,7 +40,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_pieces(counts: DataFrame, pieces: list[str], rounds: int = 2, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+def fit_pieces(counts: DataFrame, pieces: list[str], rounds: int = 3, prior: float = PRIOR) -> tuple[np.ndarray, float]:
     """Log-probabilities of the pieces and of the end of a text, learned from all word counts.
 
     Starts at the vocabulary's scores. Each round spreads every word over all of its segmentations
@@ -74,7 +74,7 @@ def score_texts(
     docs: DataFrame,
     held_out,
     vocabulary: str = VOCABULARY,
-    rounds: int = 2,
+    rounds: int = 3,
     common: int = COMMON,
     id_col: str = "doc_id",
     text_col: str = "text",

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cellsift.llm.text import distinct, drawn, letter_words, sample_rate, slices
 
 #: Labelled texts for fitting, at most about; words that become features, at most; evidence that a feature needs.
-ROWS, FEATURES, LEAST_Z = 20_000, 2048, 4.0
+ROWS, FEATURES, LEAST_Z = 20_000, 2048, 2.5
 
 
 class Model:
@@ -37,7 +37,7 @@ def _counts(column: pa.Array, features: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 
 def fit_ordinal(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, grades: int,
-                steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+                steps: int = 400, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds: P(grade >= k) = logistic(w x - cut_k), by AdaGrad with an L2 penalty."""
     n = max(1, len(grade))
     share = np.array([(np.sum(grade >= k) + 0.5) / (n + 1) for k in range(1, grades)])
@@ -65,7 +65,7 @@ def fit_ordinal(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, grade
         later = np.cumsum(d_cut[::-1])[::-1]
         for param, g, s in zip(params, (g_w, np.array([later[0]]), later[1:] * np.exp(steps_up)), seen):
             s += g * g
-            param -= 0.2 * g / np.sqrt(s)
+            param -= 0.4 * g / np.sqrt(s)
     w, first, steps_up = params
     return w, np.concatenate([first, first[0] + np.cumsum(np.exp(steps_up))])
 
@@ -119,7 +119,7 @@ def fit(graded: DataFrame, rows: int = ROWS, n_features: int = FEATURES, least_z
     got.sort(key=lambda r: (r["grade"], r["feature"], r["n"]))
     owner = np.repeat(np.arange(len(got)), [len(r["feature"]) for r in got])
     feature = np.array([f for r in got for f in r["feature"]], dtype=np.int64)
-    value = np.log1p(np.array([n for r in got for n in r["n"]], dtype=float))
+    value = 1 + np.log(np.array([n for r in got for n in r["n"]], dtype=float))
     w, cuts = fit_ordinal(owner, feature, value, np.array([r["grade"] for r in got]), len(features), grades)
     return Model(features, w, cuts)
 
@@ -128,7 +128,7 @@ def grade(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_
     """(id, n_words, expected_severity, p_toxic, severity, toxic) of every whole text, one row per row of ``docs``.
 
     ``expected_severity`` is the mean of the grade, ``severity`` the likeliest grade (ties: the lower), ``toxic`` is
-    P(grade > 0) >= ``least``. Words are runs of letters, lower-cased; a feature's value is log(1 + occurrences).
+    P(grade > 0) >= ``least``. Words are runs of letters, lower-cased; a feature's value is 1 + log(occurrences).
     Null and empty texts have no evidence: what the thresholds alone give. Repeated rows are graded each; other
     columns are not read. Nothing is shuffled.
     """
@@ -139,7 +139,7 @@ def grade(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_
         values = pa.array(model.features, pa.string())
         for part in slices(batches):
             owner, feature, n, n_words = _counts(part.column(1), values)
-            signal = np.bincount(owner, np.log1p(n) * (model.weights[feature] if len(feature) else 0.0), minlength=part.num_rows)
+            signal = np.bincount(owner, (1 + np.log(n)) * (model.weights[feature] if len(feature) else 0.0), minlength=part.num_rows)
             up = model.above(signal)
             chance = np.concatenate([np.ones((len(up), 1)), up], axis=1) - np.concatenate([up, np.zeros((len(up), 1))], axis=1)
             yield pa.RecordBatch.from_arrays(
