@@ -128,13 +128,13 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     mark, times = fresh(docs, "llm_mark"), fresh(docs, "llm_times")
     marked = docs.withColumn(mark, F.xxhash64(text_col))
-    read = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(mark).alias("mark"))
-    mixed = mix(read, "id", "text", "source", ("mark",)).filter("size > 0")
+    read = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(mark).alias("mark"), F.col(source_col).alias("origin"))
+    mixed = mix(read, "id", "text", "source", ("mark", "origin")).filter("size > 0")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     # Equal rows, of which there is one in the join, share their copies.
-    counts = mixed.groupBy("id", "mark", "source").agg(F.sum(copies).alias("times_")).filter("times_ > 0")
+    counts = mixed.groupBy("id", "mark", "origin").agg(F.sum(copies).alias("times_")).filter("times_ > 0")
     rows = marked.dropDuplicates([id_col, mark, source_col])
-    same = rows[id_col].eqNullSafe(counts["id"]) & (rows[mark] == counts["mark"]) & rows[source_col].eqNullSafe(counts["source"])
+    same = rows[id_col].eqNullSafe(counts["id"]) & (rows[mark] == counts["mark"]) & rows[source_col].eqNullSafe(counts["origin"])
     joined = rows.join(counts.withColumnsRenamed({"times_": times}), same)
     kept = [rows[c] for c in docs.columns]
     return joined.select(*kept, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)
