@@ -16,8 +16,10 @@ from cellsift.operators.neighbors import _distances, knn_join
 from cellsift.session import durable
 
 
-def sample_rows(points: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """The n rows with the smallest seeded hash: the same ones on every run."""
+def sample_rows(points: DataFrame, n: int | None, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """All rows, or the n rows with the smallest seeded hash: the same ones on every run."""
+    if n is None:
+        return points
     return points.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), id_col).limit(n)
 
 
@@ -97,12 +99,13 @@ def top_loadings(model, genes: Sequence[str], spark, k: int = 10) -> DataFrame:
     return spark.createDataFrame(rows, "pc int, rank int, gene_id string")
 
 
-def silhouette(points: DataFrame, max_n: int = 10_000, seed: int = 0, id_col: str = "id", vec: str = "x",
+def silhouette(points: DataFrame, max_n: int | None = None, seed: int = 0, id_col: str = "id", vec: str = "x",
                cluster: str = "cluster", block: int = 1024) -> DataFrame:
     """(id, cluster, a, b, silhouette) with Euclidean distances.
 
-    Above max_n rows a seeded sample is scored, so the pairs stay bounded. Blocks of
-    rows meet in pairs, and only distance sums per (row, cluster) leave a task.
+    Every row is scored; only a caller who names max_n gets a seeded sample. Blocks of
+    rows meet in pairs, and only distance sums per (row, cluster) leave a task: the work
+    is quadratic in the rows.
     """
     held = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("cluster"))
     pts = durable(sample_rows(held, max_n, seed, "id"))
@@ -296,11 +299,11 @@ def power_clusters(edges: DataFrame, k: int, max_iter: int = 20) -> DataFrame:
     return pic.assignClusters(half).select("id", F.col("cluster").cast("string"))
 
 
-def trustworthiness(points: DataFrame, k: int = 15, max_n: int = 5000, seed: int = 0, high: str = "x", low: str = "y", id_col: str = "id") -> DataFrame:
-    """How far neighbours in the layout are neighbours in the full space, on at most max_n sampled rows.
+def trustworthiness(points: DataFrame, k: int = 15, max_n: int | None = None, seed: int = 0, high: str = "x", low: str = "y", id_col: str = "id") -> DataFrame:
+    """How far neighbours in the layout are neighbours in the full space, over all rows (a seeded sample if max_n is named).
 
-    A layout neighbour's rank in the full space is the number of sampled rows that
-    are closer. Rows meet the whole sample in pieces, the sample being bounded by max_n.
+    A layout neighbour's rank in the full space is the number of rows that
+    are closer. Blocks of rows meet in pairs, each pair in a task.
     """
     pts = durable(sample_rows(points.select(F.col(id_col).alias("id"), F.col(high).cast("array<double>").alias("x"), F.col(low).cast("array<double>").alias("y")), max_n, seed, "id"))
     near = knn_join(pts.select("id", F.col("y").alias("x")), k).select("id", "nbr")
@@ -336,18 +339,18 @@ def _ranks_among(asked: DataFrame, pts: DataFrame, k: int, block: int = 1024) ->
     return found.groupBy("id", "nbr").agg((F.sum("closer") + 1).alias("rank")).select("id", "nbr", F.greatest(F.col("rank") - k, F.lit(0)).alias("_over"))
 
 
-def continuity(points: DataFrame, k: int = 16, max_n: int = 5000, seed: int = 0, high: str = "x", low: str = "y", id_col: str = "id") -> DataFrame:
-    """Mean share of full-space neighbours kept in the layout, on at most max_n sampled rows."""
+def continuity(points: DataFrame, k: int = 16, max_n: int | None = None, seed: int = 0, high: str = "x", low: str = "y", id_col: str = "id") -> DataFrame:
+    """Mean share of full-space neighbours kept in the layout, over all rows (a seeded sample if max_n is named)."""
     pts = durable(sample_rows(points.select(F.col(id_col).alias("id"), F.col(high).alias("x"), F.col(low).alias("y")), max_n, seed, "id"))
     a = knn_join(pts.select("id", "x"), k).select("id", "nbr")
     b = knn_join(pts.select("id", F.col("y").alias("x")), k).select("id", "nbr", F.lit(1).alias("_hit"))
     return a.join(b, ["id", "nbr"], "left").agg((F.count("_hit") / F.count("*")).alias("continuity"))
 
 
-def layout_separation(points: DataFrame, max_n: int = 5000, seed: int = 0, low: str = "y", cluster: str = "cluster", id_col: str = "id") -> DataFrame:
-    """Mean distance within and across clusters of a layout, and their ratio, on at most max_n rows.
+def layout_separation(points: DataFrame, max_n: int | None = None, seed: int = 0, low: str = "y", cluster: str = "cluster", id_col: str = "id") -> DataFrame:
+    """Mean distance within and across clusters of a layout, and their ratio, over all rows.
 
-    As published: first the mean per cluster, then the mean of the clusters' means.
+    First the mean per cluster, then the mean of the clusters' means.
     """
     pts = durable(sample_rows(points.select(F.col(id_col).alias("id"), F.col(low).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("cluster")), max_n, seed, "id"))
     sums = _block_sums(pts, pts.schema["id"].dataType, 1024).join(pts.select("id", "cluster"), "id")

@@ -17,6 +17,7 @@ from cellsift.functions.fixed import BLAST_SPECIES, SPECIES_ALIAS
 from cellsift.functions.scalars import col, fold
 
 HIT_COLUMNS = ["cell_type", "organ", "ontology_id", "species_type", "ontology_type", "confidence", "source"]
+from cellsift.session import durable
 
 
 def marker_rows(gene: DataFrame, marker_of: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -101,19 +102,24 @@ def all_hits(direct: DataFrame, ortholog: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(names: DataFrame, relation: DataFrame, max_hops: int = 3, name: str = "name") -> DataFrame:
-    """Distinct (name, ancestor, hops) within 1..max_hops is-a steps; no hops, no rows."""
+def ancestors(names: DataFrame, relation: DataFrame, max_hops: int | None = None, name: str = "name") -> DataFrame:
+    """Distinct (name, ancestor, hops) over is-a steps, until nothing new appears or up to max_hops; no hops, no rows."""
     edge = relation.select(F.col("child").alias("_at"), F.col("parent").alias("ancestor")).distinct()
     step = names.select(F.col(name).alias("name")).distinct().withColumn("_at", F.col("name"))
-    if max_hops <= 0:
+    if max_hops is not None and max_hops <= 0:
         return step.select("name", F.col("_at").alias("ancestor"), F.lit(0).alias("hops")).limit(0)
-    found = None
-    for hop in range(1, max_hops + 1):
-        # Only the ancestors of the asked names travel on, never the whole closure.
-        step = step.join(edge, "_at").select("name", F.col("ancestor").alias("_at")).distinct()
+    found, hop = None, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        # Only the ancestors of the asked names travel on, never the whole closure; a pair that is known stops (cycles).
+        step = step.join(edge, "_at").where(F.col("ancestor").isNotNull()).select("name", F.col("ancestor").alias("_at")).distinct()
         level = step.select("name", F.col("_at").alias("ancestor"), F.lit(hop).alias("hops"))
+        level = durable(level if found is None else level.join(found, ["name", "ancestor"], "left_anti"))
+        if level.isEmpty():
+            return level if found is None else found
         found = level if found is None else found.unionByName(level)
-    return found.where(F.col("ancestor").isNotNull()).groupBy("name", "ancestor").agg(F.min("hops").alias("hops"))
+        step = level.select("name", F.col("ancestor").alias("_at"))
+    return found
 
 
 def match_names(labels: DataFrame, names: DataFrame, limit: int = 8, label: str = "label", name: str = "name") -> DataFrame:
@@ -165,25 +171,25 @@ def canonical_name(df: DataFrame, nodes: DataFrame, name: str, out: str = "node"
     )
 
 
-def unmatched_genes(genes: DataFrame, hits: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Genes without any hit, in name order; the report shows the first fifty."""
+def unmatched_genes(genes: DataFrame, hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Genes without any hit; with a limit the first ones by name, as a report shows them."""
     missing = genes.select("gene").distinct().join(hits.select("gene").distinct(), "gene", "left_anti")
     return missing.orderBy("gene").limit(limit) if limit else missing
 
 
 def kg_provenance(gene: DataFrame, ontology: DataFrame, marker_of: DataFrame) -> DataFrame:
-    """(item, value, n): node and edge counts, vocabularies, organ counts, cut as the report shows them."""
+    """(item, value, n): node and edge counts, vocabularies, organ counts; a report may show a prefix."""
     nodes = gene.select(F.lit("Gene").alias("value")).unionAll(ontology.select(F.lit("Ontology").alias("value")))
     parts = [nodes.groupBy("value").agg(F.count("*").alias("n")).select(F.lit("node").alias("item"), "value", "n")]
-    for column, cut in (("species", 20), ("species_type", 10), ("marker_resource", 50), ("dataset", 20)):
+    for column in ("species", "species_type", "marker_resource", "dataset"):
         seen = gene.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-        parts.append(seen.orderBy("value").limit(cut).select(F.lit(column).alias("item"), "value", "n"))
+        parts.append(seen.select(F.lit(column).alias("item"), "value", "n"))
     parts.append(
         marker_of.select(F.lit("edge").alias("item"), F.lit("marker_of").alias("value")).groupBy("item", "value").agg(
             F.count("*").alias("n"))
     )
     organs = ontology.groupBy(F.coalesce("organ", F.lit("None")).alias("value")).agg(F.count("*").alias("n"))
-    parts.append(organs.orderBy(F.col("n").desc(), "value").limit(15).select(F.lit("organ").alias("item"), "value", "n"))
+    parts.append(organs.select(F.lit("organ").alias("item"), "value", "n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

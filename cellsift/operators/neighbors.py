@@ -169,7 +169,7 @@ def graph_stats(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataF
         "density", F.col("n_edges") / F.greatest(F.col("n_nodes") * F.col("n_nodes"), F.lit(1)))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str = "id", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str = "id", max_rounds: int | None = None) -> DataFrame:
     """(id, component): smallest id reachable.
 
     Each round takes the smallest label among the neighbours and then that label's
@@ -178,7 +178,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str = "id",
     """
     state = durable(nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")))
     links = durable(edges.select("src", "dst").distinct())
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         seen = links.join(state.select(F.col("id").alias("dst"), F.col("component").alias("_c")), "dst").groupBy(
             F.col("src").alias("id")).agg(F.min("_c").alias("_c"))
         lower = state.join(seen, "id", "left").select("id", F.least("component", F.coalesce("_c", "component")).alias("_m"), F.col("component").alias("_old"))

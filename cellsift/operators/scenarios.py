@@ -10,14 +10,14 @@ from pyspark.sql.window import Window as W
 
 # The eight cases: id, kind, labels to draw two clusters from, clusters kept, trap, expected.
 CASES = [
-    ("S-P1", "positive_unrelated", ["Xylem", "Root hair"], 2, "none", "ambiguous_true -> refine_effective"),
-    ("S-P2", "positive_unrelated", ["Phloem", "Root endodermis"], 2, "none", "ambiguous_true -> refine_effective"),
+    ("S-P1", "positive_unrelated", ["Xylem", "Root hair"], 2, "none", "ambiguous_true → route step5 → refine_effective"),
+    ("S-P2", "positive_unrelated", ["Phloem", "Root endodermis"], 2, "none", "ambiguous_true → refine_effective"),
     ("S-P3", "positive_rare", ["Meristematic cell", "Stem cell niche"], 2, "trap3_small_sample", "ambiguous_true but check count_diff"),
     ("S-N1", "negative_same_type", ["Pericycle"], 2, "counter_example", "first_decisive, no refine"),
-    ("S-N2", "negative_parent_child", ["Columella root cap", "Lateral root cap"], 2, "trap2_hierarchy", "ambiguous_parent_child, pick more specific"),
-    ("S-N3", "negative_same_type", ["Root cortex"], 2, "trap6_single_batch", "no batch_effect, first_decisive"),
-    ("S-H1", "positive_mid_difficulty", ["Root cortex", "Root hair"], 2, "none", "ambiguous_true -> step5"),
-    ("S-H2", "positive_superfusion", ["Root endodermis", "Root cortex", "Pericycle"], 3, "none", "ambiguous_true -> step5"),
+    ("S-N2", "negative_parent_child", ["Columella root cap", "Lateral root cap"], 2, "trap2_hierarchy", "ambiguous_parent_child, pick more specific, no step5"),
+    ("S-N3", "negative_same_type", ["Root cortex"], 2, "trap6_single_batch", "no batch_effect, no refine, first_decisive"),
+    ("S-H1", "positive_mid_difficulty", ["Root cortex", "Root hair"], 2, "none", "ambiguous_true → step5"),
+    ("S-H2", "positive_superfusion", ["Root endodermis", "Root cortex", "Pericycle"], 3, "none", "ambiguous_true → step5, n_subclusters ≥ 2 expected"),
 ]
 HITS_NEEDED, HITS_OF, HITS_LEAST = 6, 8, 3
 

@@ -258,7 +258,7 @@ def relations(t: Tables, hierarchy: bool = True, counts: DataFrame | None = None
         t.region.select(F.lit("WORLD"))).distinct()
     if not hierarchy:
         return label_relation(pairs, pins(t), aliases)
-    return label_relation(pairs, pins(t), aliases, nodes, ancestors(nodes, kg_relation(t), 3))
+    return label_relation(pairs, pins(t), aliases, nodes, ancestors(nodes, kg_relation(t)))
 
 
 def scored(t: Tables) -> DataFrame:

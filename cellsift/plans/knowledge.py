@@ -47,7 +47,7 @@ def _(t):
     UNION ALL SELECT up.name, rel.parent, hops + 1 FROM up JOIN rel ON rel.child = up.ancestor WHERE hops < 3)
   SELECT name, ancestor, min(hops) AS hops FROM up GROUP BY 1, 2""")
 def _(t):
-    return kg.ancestors(t.nation, kg_relation(t), 3, name="n_name")
+    return kg.ancestors(t.nation, kg_relation(t), name="n_name")
 
 
 @query("match_names", """WITH lab AS (SELECT DISTINCT lower(trim(label)) AS k, label FROM (SELECT r_name AS label FROM region UNION ALL
@@ -73,7 +73,7 @@ def _(t):
 
 
 @query("unmatched_genes", with_sql(ROWS, ORTH, HITS) + """SELECT gene FROM (SELECT DISTINCT p_name AS gene FROM part)
-  WHERE gene NOT IN (SELECT gene FROM hits) ORDER BY gene LIMIT 50""")
+  WHERE gene NOT IN (SELECT gene FROM hits)""")
 def _(t):
     return kg.unmatched_genes(t.part.select(F.col("p_name").alias("gene")), hits(t))
 
@@ -83,7 +83,7 @@ def _(t):
   UNION ALL SELECT 'species', species, count(*) FROM ge GROUP BY 2 UNION ALL SELECT 'species_type', species_type, count(*) FROM ge GROUP BY 2
   UNION ALL SELECT 'marker_resource', marker_resource, count(*) FROM ge GROUP BY 2 UNION ALL SELECT 'dataset', dataset, count(*) FROM ge GROUP BY 2
   UNION ALL SELECT 'edge', 'marker_of', count(*) FROM mo
-  UNION ALL SELECT * FROM (SELECT 'organ', organ, count(*) AS n FROM ont GROUP BY 2 ORDER BY n DESC, organ LIMIT 15))""")
+  UNION ALL SELECT 'organ', organ, count(*) FROM ont GROUP BY 2)""")
 def _(t):
     return kg.kg_provenance(kg_gene(t), kg_ontology(t), kg_marker_of(t))
 
@@ -200,7 +200,7 @@ CANDGAP = with_sql(EXPR, CELLS, ROWS, ORTH, CG, HITS, RANKED, GAP)
 
 def gaps(t):
     clusters = cells(t).select("cluster").union(t.region.select(F.lit("NONE")))
-    return cd.gap_metrics(candidates(t), clusters, kg.ancestors(t.nation, kg_relation(t), 3, name="n_name"))
+    return cd.gap_metrics(candidates(t), clusters, kg.ancestors(t.nation, kg_relation(t), name="n_name"))
 
 
 @query("gap_metrics", CANDGAP + """SELECT cluster, status, n_candidates, first_type, second_type, first_count, second_count, round(count_ratio, 6) AS count_ratio,

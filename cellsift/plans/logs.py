@@ -390,15 +390,14 @@ def _(t):
 
 
 # Overlap: customers as sets of brands would be many; nations as sets of part sizes are few.
-SETS = """st AS (SELECT DISTINCT n_name AS cluster, p_size AS gene FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-    WHERE l_discount = 0.1 AND l_quantity > 45),
+SETS = """st AS (SELECT DISTINCT n_name AS cluster, p_size AS gene FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
   pr AS (SELECT a.cluster AS a, b.cluster AS b, (SELECT count(*) FROM st x JOIN st y USING (gene) WHERE x.cluster = a.cluster AND y.cluster = b.cluster) AS n_shared, a.k AS ka, b.k AS kb
     FROM (SELECT cluster, count(*) AS k FROM st GROUP BY 1) a JOIN (SELECT cluster, count(*) AS k FROM st GROUP BY 1) b ON a.cluster < b.cluster),
   ps AS (SELECT a, b, n_shared, n_shared / greatest(least(ka, kb), 1) AS overlap, n_shared / greatest(ka + kb - n_shared, 1) AS jaccard FROM pr)"""
 
 
 def _sets(t):
-    return t.lineitem.where("l_discount = 0.1 AND l_quantity > 45").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(
         t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("cluster"), F.col("p_size").alias("gene"))
 

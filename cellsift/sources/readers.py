@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
+
+from cellsift.session import durable
 
 from cellsift.functions.fixed import ORTHOLOG_TYPES
 from cellsift.functions.scalars import strip_seq_id
@@ -26,8 +29,8 @@ NOTE_SCHEMA = "note_id string, ts string, session_id string, project_id string,
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per non-blank line; a line that is no JSON keeps its text in ``_bad``."""
     full = T._parse_datatype_string(schema).add(BAD, T.StringType())
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": BAD}).alias("j"), F.input_file_name().alias("_file")).select("j.*", "_file")
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file")).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": BAD}).alias("j"), "_file").select("j.*", "_file")
 
 
 def split_bad(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,13 +42,34 @@ def count_bad(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col(BAD).isNull()).alias("n_rows"), F.count_if(F.col(BAD).isNotNull()).alias("n_bad"))
 
 
-def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
-    """Run log rows with ``run`` (the file's folder unless named) and ``line``.
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Adds the place of each row, from 1, over all files in the order of their names.
 
-    The line is the seq where there is one; it orders the records of a run.
+    ``rows`` must come straight from a file reader. Rows are counted per block of a file; a block bounds what a task orders.
     """
-    good, _ = split_bad(read_jsonl(spark, path, LOG_SCHEMA).withColumn("run", F.lit(run) if run else F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)))
-    return good.withColumn("line", F.col("seq"))
+    placed = durable(rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")))
+    blocks = placed.groupBy("_path", "_block").agg(F.count("*").alias("_n"))
+    before = blocks.select("_path", "_block", F.coalesce(F.sum("_n").over(W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(W.partitionBy("_path", "_block").orderBy("_row"))
+    return placed.withColumn("_nth", nth).join(before, ["_path", "_block"]).withColumn(out, F.col("_before") + F.col("_nth")).drop("_path", "_block", "_row", "_nth", "_before")
+
+
+def _log_lines(spark: SparkSession, path: str, run: str | None) -> DataFrame:
+    full = T._parse_datatype_string(LOG_SCHEMA).add(BAD, T.StringType())
+    text = spark.read.text(path)
+    lines = numbered(text.withColumn("_file", F.col("_metadata.file_path")), "line").where(F.trim("value") != "")
+    name = F.lit(run) if run else F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)
+    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": BAD}).alias("j"), name.alias("run"), "line").select("j.*", "run", "line")
+
+
+def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """Run log rows with ``run`` (the file's folder unless named) and ``line``, their place in the files (blank lines count)."""
+    return _log_lines(spark, path, run).where(F.col(BAD).isNull()).drop(BAD)
+
+
+def bad_log_lines(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """(run, line, level, message) of the lines that are no JSON, in the form of ``validate_log``'s issues."""
+    return _log_lines(spark, path, run).where(F.col(BAD).isNotNull()).select("run", "line", F.lit("error").alias("level"), F.lit("line is no JSON").alias("message"))
 
 
 def read_conversation(spark: SparkSession, path: str) -> DataFrame:
@@ -90,12 +114,12 @@ def read_keyed_csv(spark: SparkSession, path: str, key: str, required: list[str]
     if missing:
         raise ValueError(f"{path} lacks columns {missing}")
     # Position in the input: file, then the order of rows within it.
-    return last_per_key(raw.withColumn("_o", F.monotonically_increasing_id()), key, "_o")
+    return last_per_key(numbered(raw, "_o"), key, "_o")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(position, header, sequence); a record starts at a line that begins with '>'."""
-    text = spark.read.option("lineSep", "\n>").text(path).withColumn("position", F.monotonically_increasing_id())
+    text = numbered(spark.read.option("lineSep", "\n>").text(path), "position")
     parts = F.split(F.regexp_replace("value", "^>", ""), "\n", 2)
     return text.select(
         "position", F.regexp_replace(parts[0], r"\r$", "").alias("header"),

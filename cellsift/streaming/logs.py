@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,22 +52,21 @@ def stream_latest(stream: DataFrame) -> DataFrame:
 
 
 class _Gaps(StatefulProcessor):
-    """Per run: the last seq seen; a record that does not follow it is a gap."""
+    """Per run: the highest seq seen; a record above it that does not follow it is a gap."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._top = handle.getValueState("top", "top long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         top = self._top.get()[0] if self._top.exists() else 0
-        out = []
-        # A batch's seqs of one run arrive in chunks; each chunk is sorted on its own.
-        for pdf in rows:
-            for seq in sorted(int(s) for s in pdf["seq"].dropna()):
-                if seq != top + 1:
-                    out.append((key[0], seq, top + 1))
-                top = seq
-        self._top.update((top,))
-        yield pd.DataFrame(out, columns=["run", "seq", "expected"])
+        # A batch's seqs of one run arrive in several chunks, in any order: 8 bytes a row are held to sort them together.
+        seqs = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(pdf["seq"].dropna().to_numpy(dtype=np.int64) for pdf in rows)]))
+        seqs = seqs[seqs > top]
+        expected = np.concatenate([[top], seqs])[:-1] + 1
+        odd = seqs != expected
+        if len(seqs):
+            self._top.update((int(seqs[-1]),))
+        yield pd.DataFrame({"run": key[0], "seq": seqs[odd], "expected": expected[odd]})
 
     def close(self) -> None:
         pass
@@ -75,6 +75,8 @@ class _Gaps(StatefulProcessor):
 def stream_gaps(stream: DataFrame) -> DataFrame:
     """(run, seq, expected) for every record that does not follow the one before it.
 
+    Repeated and late records (at or below the highest seq of an earlier batch) report nothing.
+
     The state is one number per run. Needs the RocksDB state store.
     """
     return stream.select("run", "seq").where("run IS NOT NULL").groupBy("run").transformWithStateInPandas(

@@ -131,3 +131,38 @@ def test_stream_gaps_keeps_state_between_batches(spark, tmp_path):
         assert {tuple(r) for r in got.collect()} == {("r", 5, 3), ("s", 3, 2)}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_log_lines_keep_their_place(spark, tmp_path):
+    from cellsift.operators.runlog import validate_log
+
+    folder = tmp_path / "r1"
+    folder.mkdir()
+    rows = [1, 3, 2, 2]
+    text = "\n".join('{"type": "session_start", "ts": "t", "session_id": "s", "seq": %d}' % q for q in rows)
+    (folder / "log.jsonl").write_text(text + "\nnot json\n")
+    log = rd.read_log(spark, str(folder / "log.jsonl"))
+    assert [(r["line"], r["seq"]) for r in log.orderBy("line").collect()] == [(1, 1), (2, 3), (3, 2), (4, 2)]
+    assert [r["line"] for r in rd.bad_log_lines(spark, str(folder)).collect()] == [5]
+    issues = validate_log(log).where("message = 'seq not consecutive'")
+    assert sorted(r["line"] for r in issues.collect()) == [2, 3, 4]
+
+
+def test_last_file_wins(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 400)):
+        (tmp_path / f"{name}.csv").write_text("key,v\n" + "\n".join(f"k{i % 3},{name}{i}" for i in range(n)) + "\n")
+    got = {r["key"]: r["v"] for r in rd.read_keyed_csv(spark, str(tmp_path), "key", ["v"]).collect()}
+    assert got == {"k0": "b399", "k1": "b397", "k2": "b398"}
+
+
+def test_gaps_of_a_large_shuffled_batch(spark, tmp_path):
+    import random
+
+    folder = tmp_path / "in" / "r1"
+    folder.mkdir(parents=True)
+    seqs = [s for s in range(1, 25_001) if s != 777]
+    random.Random(0).shuffle(seqs)
+    (folder / "log.jsonl").write_text("".join('{"seq": %d, "run": "r1"}\n' % s for s in seqs))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = _drain(spark, st.stream_gaps(st.tail_log(spark, str(folder))), "gaps2", "append", tmp_path)
+    assert [tuple(r) for r in got.collect()] == [("r1", 778, 777)]
