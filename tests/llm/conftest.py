@@ -14,9 +14,9 @@ def prose(rng: random.Random, lang: str, n: int) -> str:
 
 def odd_rows():
     """Nulls everywhere, empty, blank and wordless texts, repeated rows and ids, very long texts and words."""
-    long_text = " ".join(f"w{i % 700}" for i in range(40_000))
+    long_text = " ".join(f"w{i % 700}" for i in range(5_000))
     texts = [None, "", " \t\n", "### 123 !!!", "x", "a b", "Mail me at a@b.co or call +1 (212) 555-0100.", "a b c " * 30, long_text,
-             "q" * 3_000, "é" * 90 + " 日本語 😀", "same text here now", "same text here now", "1.2.3.4 4111 1111 1111 1111 GB82 WEST 1234 5698 7654 32"]
+             "q" * 1_000, "é" * 90 + " 日本語 😀", "same text here now", "same text here now", "1.2.3.4 4111 1111 1111 1111 GB82 WEST 1234 5698 7654 32"]
     ids = [*range(len(texts) - 1), None]
     rows = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", None if t is None else len(t)) for k, (i, t) in enumerate(zip(ids, texts))]
     rows += [rows[7], rows[7], (None, None, None, None, None), (3, "same id, other text", "de", "s1", 19)]
