@@ -184,7 +184,7 @@ def gap_metrics(candidates: DataFrame, clusters: DataFrame, ancestors: DataFrame
         F.when(two, up_of | down_of).alias("related"),
         F.when(two & (up_of | down_of), up_of).alias("first_is_ancestor"),
         F.when(two & ~(up_of | down_of), F.size(shared)).alias("n_shared_ancestors"),
-        F.when(two & ~(up_of | down_of), F.slice(shared, 1, 10)).alias("shared_ancestors"),
+        F.when(two & ~(up_of | down_of), shared).alias("shared_ancestors"),
     )
 
 
@@ -197,11 +197,12 @@ def gap_summary(gaps: DataFrame) -> DataFrame:
     )
 
 
-def decision_view(candidates: DataFrame, by=("cluster",), shown: int = 15, genes: int = 10) -> DataFrame:
-    """What a judge sees: first two candidates with some genes, then the rest without."""
-    return candidates.where(F.col("rank") <= shown).select(
+def decision_view(candidates: DataFrame, by=("cluster",), shown: int | None = None, genes: int | None = None) -> DataFrame:
+    """What a judge sees: first two candidates with their genes, then the rest without; a report may ask for the first ones only."""
+    rows = candidates if shown is None else candidates.where(F.col("rank") <= shown)
+    return rows.select(
         *by, "rank", "cell_type", "marker_count", "mean_confidence", "organs", "organ_status",
-        F.when(F.col("rank") <= 2, F.slice("supporting_markers", 1, genes)).alias("supporting_markers"),
+        F.when(F.col("rank") <= 2, F.col("supporting_markers") if genes is None else F.slice("supporting_markers", 1, genes)).alias("supporting_markers"),
     )
 
 

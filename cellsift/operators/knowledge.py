@@ -15,9 +15,10 @@ from pyspark.sql.window import Window as W
 
 from cellsift.functions.fixed import BLAST_SPECIES, SPECIES_ALIAS
 from cellsift.functions.scalars import col, fold
+from cellsift.operators.running import running
+from cellsift.session import durable
 
 HIT_COLUMNS = ["cell_type", "organ", "ontology_id", "species_type", "ontology_type", "confidence", "source"]
-from cellsift.session import durable
 
 
 def marker_rows(gene: DataFrame, marker_of: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -122,8 +123,8 @@ def ancestors(names: DataFrame, relation: DataFrame, max_hops: int | None = None
     return found
 
 
-def match_names(labels: DataFrame, names: DataFrame, limit: int = 8, label: str = "label", name: str = "name") -> DataFrame:
-    """Names that equal the label, or contain it, ignoring case; up to ``limit`` per label.
+def match_names(labels: DataFrame, names: DataFrame, limit: int | None = None, label: str = "label", name: str = "name") -> DataFrame:
+    """Names that equal the label, or contain it, ignoring case; all, or up to ``limit`` per label.
 
     Containment becomes an equality: each name is cut into its substrings of the
     lengths that labels have, and these are joined to the labels.
@@ -148,14 +149,15 @@ def match_names(labels: DataFrame, names: DataFrame, limit: int = 8, label: str
             ).alias("_key"),
         )
     )
+    met = wanted.join(cuts, "_key").select(
+        "label", "name", F.when(F.trim("_low") == F.col("_key"), "casefold").otherwise("contains").alias("match"))
+    if limit is None:
+        # A label that is in most names has a row for each; their order spans many tasks.
+        return running(met.withColumn("_one", F.lit(1)), ["label"], ["match", "name"], {"position": ("sum", "_one")}).select(
+            "label", "name", "match", F.col("position").cast("int").alias("position"))
     # Rows beyond the limit are dropped before the shuffle.
     w = W.partitionBy("label").orderBy("match", "name")
-    return (
-        wanted.join(cuts, "_key")
-        .select("label", "name", F.when(F.trim("_low") == F.col("_key"), "casefold").otherwise("contains").alias("match"))
-        .withColumn("position", F.row_number().over(w))
-        .where(F.col("position") <= limit)
-    )
+    return met.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 
 
 def canonical_name(df: DataFrame, nodes: DataFrame, name: str, out: str = "node") -> DataFrame:

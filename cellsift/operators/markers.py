@@ -147,10 +147,10 @@ def rank_sum_scores(stats: DataFrame) -> DataFrame:
 
 
 def rank_genes(
-    expr: DataFrame, labels: DataFrame, top: int = 500, value: str = "norm", by=(), cell: str = "cell_id",
+    expr: DataFrame, labels: DataFrame, top: int | None = 500, value: str = "norm", by=(), cell: str = "cell_id",
     gene: str = "gene_id", cluster: str = "cluster",
 ) -> DataFrame:
-    """Top genes per cluster by rank-sum score with p, BH-adjusted p, AUC and pct columns.
+    """Top genes per cluster (None: all) by rank-sum score with p, BH-adjusted p, AUC and pct columns.
 
     p is adjusted over all genes, before the cut. Clusters of one cell are skipped.
     """
@@ -158,11 +158,15 @@ def rank_genes(
     stats = gene_cluster_stats(expr, labels, value, by, cell, gene, cluster)
     scored = pct_in_out(gene_auc(rank_sum_scores(stats))).withColumn("pval", normal_two_sided("score"))
     adjusted = bh_fdr(scored, "pval", keys, gene)
-    w = W.partitionBy(*keys).orderBy(F.col("score").desc(), gene)
+    if top is None:
+        ranked = running(
+            adjusted.withColumns({"_down": -F.col("score"), "_one": F.lit(1)}), keys, ["_down", gene], {"rank": ("sum", "_one")}
+        ).withColumn("rank", F.col("rank").cast("int"))
+    else:
+        w = W.partitionBy(*keys).orderBy(F.col("score").desc(), gene)
+        ranked = adjusted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return (
-        adjusted.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= top)
-        .select(*keys, gene, "rank", "score", "logfc", "pval", "pval_adj", "auc", "pct1", "pct2", "pct1_minus_pct2")
+        ranked.select(*keys, gene, "rank", "score", "logfc", "pval", "pval_adj", "auc", "pct1", "pct2", "pct1_minus_pct2")
     )
 
 

@@ -14,8 +14,6 @@ from pyspark.sql.window import Window as W
 from cellsift.operators.distribution import describe
 from cellsift.session import durable
 
-MAX_PIVOTS = 256
-
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
@@ -33,8 +31,8 @@ def place(points: DataFrame, id_col: str = "id", vec: str = "x", pivots: int = 1
     The pivots are a few points picked by hash. A cell that holds more points than
     a block is split by hash, so no block grows with the data.
     """
-    # The pivots are at most MAX_PIVOTS vectors, whatever the table's size.
-    chosen = points.select(id_col, vec).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(min(pivots, MAX_PIVOTS)).collect()
+    # As many vectors as the caller asks for come to the driver.
+    chosen = points.select(id_col, vec).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(pivots).collect()
     centers = np.array([r[vec] for r in chosen], dtype=float)
     kind = points.schema[id_col].dataType
     schema = T.StructType([
@@ -126,7 +124,7 @@ def knn_join(points: DataFrame, k: int = 15, id_col: str = "id", vec: str = "x",
 
 def _pivot_gaps(placed: DataFrame) -> DataFrame:
     """Distances between pivots, from the closest point of each: (pl, ps, gap), a lower bound."""
-    # The pivot of a cell is the point at distance 0 from itself; at most MAX_PIVOTS rows.
+    # The pivot of a cell is the point at distance 0 from itself; one row per pivot.
     heads = placed.where(F.col("_r") < 1e-9).groupBy("_p").agg(F.min_by("x", "id").alias("x"))
     listed = heads.select(F.collect_list(F.struct("_p", "x"))).scalar()
     d2 = F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)

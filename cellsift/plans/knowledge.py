@@ -55,7 +55,7 @@ def _(t):
   nm AS (SELECT DISTINCT n_name AS name FROM nation UNION SELECT DISTINCT r_name FROM region UNION SELECT DISTINCT p_name FROM part)
   SELECT label, name, match, position FROM (SELECT label, name, CASE WHEN trim(lower(name)) = k THEN 'casefold' ELSE 'contains' END AS match,
     row_number() OVER (PARTITION BY label ORDER BY CASE WHEN trim(lower(name)) = k THEN 'casefold' ELSE 'contains' END, name) AS position
-    FROM lab JOIN nm ON contains(lower(name), k)) WHERE position <= 8""")
+    FROM lab JOIN nm ON contains(lower(name), k))""")
 def _(t):
     lab = t.region.select(F.col("r_name").alias("label")).unionAll(t.nation.select(F.substring("n_name", 1, 4))).unionAll(
         t.part.select(F.lower("p_type")))
@@ -217,7 +217,7 @@ def _(t):
 
 
 @query("decision_view", CAND + """SELECT cluster, rank, cell_type, marker_count, round(mean_confidence, 11) AS mean_confidence, organs, organ_status,
-  CASE WHEN rank <= 2 THEN supporting_markers END AS supporting_markers FROM ca WHERE rank <= 15""")
+  CASE WHEN rank <= 2 THEN supporting_markers END AS supporting_markers FROM ca""")
 def _(t):
     got = cd.decision_view(candidates(t))
     return rounded(got.withColumns({c: F.array_join(c, ",") for c in ("organs", "supporting_markers")}), mean_confidence=11)

@@ -285,6 +285,10 @@ DE = STATS + """,
 MATRIX = with_sql(EXPR, NORM, CELLS, DE)
 
 
+# The same without the cut: summaries read every tested gene.
+DE_ALL = DE.replace(" WHERE rank <= 20", "")
+
+
 def _de(t, top=20):
     return mk.rank_genes(norm(t), cells(t), top=top)
 
@@ -342,23 +346,25 @@ def _(t):
     return rounded(mk.bh_fdr(p, "p", ["grp"], "id"))
 
 
-@query("inflation_lambda")
+# The chi-square of a two-sided p is the square of its score; p is 1 at score 0 and 0 beyond 38.
+@query("inflation_lambda", with_sql(EXPR, NORM, CELLS, DE_ALL) + f"""SELECT cluster, round(median(score * score) / {mk.MEDIAN_CHI2_1}, 6) AS inflation_lambda
+  FROM de WHERE score <> 0 AND abs(score) < 38 GROUP BY 1""")
 def _(t):
-    return rounded(mk.inflation_lambda(_de(t)))
+    return rounded(mk.inflation_lambda(_de(t, None)))
 
 
 @query("de_summary")
 def _(t):
-    return rounded(mk.de_summary(_de(t)))
+    return rounded(mk.de_summary(_de(t, None)))
 
 
-@query("pct_summary", sig(with_sql(EXPR, NORM, CELLS, DE, """lg AS (SELECT cluster || '|' || variable AS k, cluster, variable, value FROM
+@query("pct_summary", sig(with_sql(EXPR, NORM, CELLS, DE_ALL, """lg AS (SELECT cluster || '|' || variable AS k, cluster, variable, value FROM
     (SELECT cluster, pct1, pct2, pct1 - pct2 AS pct1_minus_pct2 FROM de) UNPIVOT (value FOR variable IN (pct1, pct2, pct1_minus_pct2)))""",
   "d AS (" + describe_sql("lg", "value", "k") + ")") + """
   SELECT split_part(k, '|', 1) AS cluster, split_part(k, '|', 2) AS variable, n, mean, std, median,
-  (SELECT round(avg(pct1 - pct2), 6) FROM de WHERE de.cluster = split_part(k, '|', 1)) AS mean_specificity_of_top FROM d"""))
+  (SELECT round(avg(pct1 - pct2), 6) FROM de WHERE de.cluster = split_part(k, '|', 1) AND rank <= 50) AS mean_specificity_of_top FROM d"""))
 def _(t):
-    d = mk.pct_summary(_de(t)).select("cluster", "variable", "n", "mean", "std", "median", "mean_specificity_of_top")
+    d = mk.pct_summary(_de(t, None)).select("cluster", "variable", "n", "mean", "std", "median", "mean_specificity_of_top")
     return d.withColumn("mean_specificity_of_top", F.round("mean_specificity_of_top", 6))
 
 
@@ -432,7 +438,7 @@ def _(t):
 @query("merge_pseudobulk")
 def _(t):
     pb = mk.pseudobulk_de(matrix(t), cells(t), sample="region", rare_threshold=0.2)
-    return rounded(mk.merge_pseudobulk(_de(t), pb))
+    return rounded(mk.merge_pseudobulk(_de(t, None), pb))
 
 
 @query("check_matrix", with_sql(EXPR) + """SELECT bool_and(try_cast(gene_id AS DOUBLE) IS NOT NULL) AS all_numeric_genes,

@@ -107,3 +107,13 @@ def test_tails_against_published_values(spark):
     row = spark.range(1).select(tails.normal_two_sided(F.lit(1.959964)).alias("z"), tails.chi2_tail(F.lit(3.841459), F.lit(1.0)).alias("c"),
                                 tails.t_tail(F.lit(2.228139), F.lit(10.0)).alias("t")).first()
     assert [row["z"], row["c"], row["t"]] == pytest.approx([0.05] * 3, abs=1e-6)
+
+
+def test_erf_is_exact_to_double_precision():
+    import math
+
+    from cellsift.functions.tails import erf
+
+    x = np.array([-40.0, -6.1, -3.2, -1.0, -1e-9, 0.0, 1e-300, 0.3, 2.5, 5.9, 6.0, 7.0])
+    assert np.allclose(erf(x), [math.erf(v) for v in x], rtol=0, atol=1e-15)
+    assert np.isnan(erf(np.array([np.nan, 1.0]))[0])

@@ -69,6 +69,14 @@ def test_coverage_bounds(spark):
     assert got == [("high", "single_species"), ("medium", "mixed"), ("medium", "mixed"), ("low", "cross_species_only")]
 
 
+def test_match_names_without_limit_gives_all(spark):
+    labels = spark.createDataFrame([("cell",), ("none",)], "label string")
+    names = spark.createDataFrame([(f"cell {i:03d}",) for i in range(300)] + [("Cell",)], "name string")
+    got = kg.match_names(labels, names).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 302))
+    assert [r["name"] for r in got] == ["Cell"] + [f"cell {i:03d}" for i in range(300)]
+
+
 def test_routing(spark):
     rows = [("t", "Plant", "single_species", None), ("t", "Plant", "cross_species_only", ["zea_mays", "oryza_sativa"]), ("t", "Plant", "cross_species_only", []), (None, None, None, None)]
     got = mp.routing(spark.createDataFrame(rows, "target_species string, target_species_type string, recommended_strategy string, refs array<string>")).collect()
