@@ -14,6 +14,8 @@ from cellsift.llm.text import distinct, drawn, letter_words, sample_rate, slices
 #: Slots of the hashed features; words of a chain; texts for fitting and chains of each, per language.
 SLOTS, CHAIN, ROWS, DRAWS = 1 << 16, 64, 500, 2
 UNKNOWN = "und"
+#: Bytes of text that a worker labels at once.
+SLICE = 1 << 20
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,10 +45,15 @@ def _features(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.concatenate(slots).astype(np.int64)
 
 
-def _emissions(vocab: pa.Array, weights: np.ndarray) -> np.ndarray:
-    owner, slot = _features(vocab)
-    got = weights[slot]
-    return np.stack([np.bincount(owner, got[:, k], minlength=len(vocab)) for k in range(weights.shape[1])], axis=1)
+def _emissions(vocab: pa.Array, weights: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """Scores of all words for every language; the features of ``block`` words are in memory at a time."""
+    out = np.zeros((len(vocab), weights.shape[1]), dtype=np.float32)
+    for i in range(0, len(vocab), block):
+        some = vocab.slice(i, block)
+        owner, slot = _features(some)
+        for k in range(weights.shape[1]):
+            out[i: i + len(some), k] = np.bincount(owner, weights[slot, k], minlength=len(some))
+    return out
 
 
 def _posteriors(scores: np.ndarray, used: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +163,7 @@ class Model:
         if not k or not len(flat):
             return np.full(n, -1), np.zeros(n), n_words, np.zeros(n, dtype=np.int64)
         vocab, codes = distinct(flat)
-        emit = _emissions(vocab, self.weights).astype(np.float32)
+        emit = _emissions(vocab, self.weights)
         place = np.arange(len(flat)) - (np.cumsum(n_words) - n_words)[doc]
         chains = -(-n_words // CHAIN)
         chain = (np.cumsum(chains) - chains)[doc] + place // CHAIN
@@ -200,7 +207,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         names = np.array([*model.languages, UNKNOWN], dtype=object)
-        for part in slices(batches, limit=4 << 20):
+        for part in slices(batches, limit=SLICE):
             best, share, n_words, switch = model.label(part.column(1))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *part.columns[2:], pa.array(names[best], pa.string()), pa.array(share.astype(float)),
@@ -213,7 +220,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
 
     def run(batches):
-        for part in slices(batches, text_col, 4 << 20):
+        for part in slices(batches, text_col, SLICE):
             best, share, _, _ = model.label(part.column(part.schema.get_field_index(text_col)))
             yield part.filter(pa.array((best >= 0) & (share >= least)))
 

@@ -17,6 +17,8 @@ from cellsift.session import durable
 BITS, SEGMENTS, WIDTH = 3, 4, 16
 #: Members of a block that meet in one task, at most (twice as many where a block is cut into tiles).
 TILE = 1024
+#: Bytes of text whose shingles a worker holds at once.
+SLICE = 2 << 20
 
 # For each byte its eight bits, each in a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -56,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = [docs.schema[id_col], T.StructField("fp", T.LongType()), *(docs.schema[c] for c in keep)]
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             fp = pa.array(simhash(part.column(1)).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), fp, *part.columns[2:]], names=[f.name for f in fields])
 
