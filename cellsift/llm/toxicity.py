@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsift.llm.text import distinct, drawn, letter_words, sample_rate, slices
+from cellsift.session import durable
 
 #: Labelled texts for fitting, at most about; words that become features, at most; evidence that a feature needs.
 ROWS, FEATURES, LEAST_Z = 20_000, 2048, 2.5
@@ -75,11 +76,12 @@ def fit(graded: DataFrame, rows: int = ROWS, n_features: int = FEATURES, least_z
 
     About ``rows`` texts are drawn by a hash of id and text if there are more. Feature words are those whose share of
     toxic texts (grade above 0) differs from the rest by ``least_z`` standard errors of the log odds, the
-    ``n_features`` strongest at most. At most rows x features numbers come to the driver, where the fit runs.
+    ``n_features`` strongest at most. At most rows x features numbers come to the driver, where the fit runs. The sample is checkpointed.
     With no graded rows, or one grade only, the model has no features and gives grade 0.
     """
     graded = graded.filter(F.col("text").isNotNull() & F.col("grade").isNotNull())
-    sample = graded.filter(drawn(F.lit(sample_rate(graded.count(), rows)), "id", "text")).select("text", F.col("grade").cast("int").alias("grade"))
+    # Read three times; stored, so that texts meet their labels once.
+    sample = durable(graded.filter(drawn(F.lit(sample_rate(graded.count(), rows)), "id", "text")).select("text", F.col("grade").cast("int").alias("grade")))
     sizes = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     grades = max(sizes, default=0) + 1
     clean, toxic = sizes.get(0, 0), sum(n for g, n in sizes.items() if g > 0)
