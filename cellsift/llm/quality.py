@@ -130,7 +130,8 @@ def select_cutoffs(measured: DataFrame, good: Column, risk: float = 0.01, confid
             mine = [(r["over"], r["count"]) for r in rows if r["band"] == b and r["rule"] == rule]
             n = sum(c for _, c in mine)
             for i, cutoff in enumerate(GRID):
-                if not n or tail(sum(c for over, c in mine if over > i), n, risk) > confidence / tests:
+                # The grid falls: a value above cutoff i is above all len(GRID) - i cutoffs from there on.
+                if not n or tail(sum(c for over, c in mine if over >= len(GRID) - i), n, risk) > confidence / tests:
                     break
                 chosen[b, rule] = cutoff
     return chosen

@@ -297,6 +297,31 @@ def test_cutoffs_hold_their_risk(spark):
     assert not quality.judge(docs, marks.limit(0)).filter("reasons <> ''").count()
 
 
+def test_cutoffs_equal_a_direct_count(spark):
+    """Good texts reach 0.1 to 0.5 in one rule, so the walk has to stop on the way."""
+    rng, rows = random.Random(8), []
+    for _ in range(6000):
+        n_words, letters = rng.choice([20, 100, 500, 2000]), 1000
+        upper = int(letters * (rng.uniform(0.1, 0.5) if rng.random() < 0.2 else rng.uniform(0, 0.1)))
+        rows.append((n_words, 4 * n_words, rng.randrange(n_words // 10), 0, rng.randrange(n_words // 4), 10, upper, letters, int(rng.random() < 0.9)))
+    measured = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in (*quality.COUNTS, "quality")))
+    got = quality.select_cutoffs(measured, F.col("quality") == 1)
+    table = pd.DataFrame(rows, columns=[*quality.COUNTS, "quality"])
+    held = table[table.quality == 1]
+    level = sum((held.n_words >= b).astype(int) for b in quality.BANDS)
+    values = {
+        "symbol_ratio": held.n_symbols / held.word_chars, "dup_line_ratio": held.n_dup_lines / held.n_lines, "repeat_ratio": held.n_repeat_words / held.n_words,
+        "upper_ratio": held.n_upper / held.n_letters, "long_words": held.word_chars / held.n_words / 100}
+    want = {}
+    for b in range(4):
+        for rule, v in values.items():
+            for cutoff in quality.GRID:
+                if quality.tail(int((v[level == b] > cutoff).sum()), int((level == b).sum()), 0.01) > 0.05 / 20:
+                    break
+                want[b, rule] = cutoff
+    assert got == want and {got[b, "upper_ratio"] for b in range(4)} <= {0.5, 0.6} and len(set(got.values())) > 3
+
+
 def test_binomial_tail():
     assert math.isclose(quality.tail(2, 10, 0.3), sum(math.comb(10, i) * 0.3**i * 0.7 ** (10 - i) for i in range(3)))
     assert quality.tail(0, 458, 0.01) < 0.0101 and quality.tail(5, 5, 0.1) == 1
