@@ -13,6 +13,7 @@ from cellsift.plans.inputs import (CELLS, CG, EXPR, HITS, NORM, ORTH, ROWS, cell
 from cellsift.plans.knowledge import GAP, RANKED, candidates, gaps
 from cellsift.plans.quality import rounded
 from cellsift.plans.registry import query
+from cellsift.session import durable
 
 P = """pt AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label::VARCHAR AS cluster, embedding[1:2]::DOUBLE[] AS y FROM embeddings)"""
 KNN = """kn AS (SELECT id, nbr, dist, rank FROM (SELECT a.id, b.id AS nbr, list_distance(a.x, b.x) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.x, b.x), 12), b.id) AS rank
@@ -52,8 +53,9 @@ def _(t):
   bo AS (SELECT a AS src, b AS dst FROM lk UNION SELECT b, a FROM lk), nd AS (SELECT DISTINCT src AS id FROM bo),
   re AS (SELECT id, id AS r FROM nd UNION SELECT re.id, bo.dst FROM re JOIN bo ON bo.src = re.r) SELECT id, min(r) AS component FROM re GROUP BY 1""")
 def _(t):
-    lk = t.lineitem.where("l_quantity = 50 AND l_discount = 0.1").selectExpr("l_suppkey % 40 * 7 + CAST(floor(l_suppkey / 40) AS BIGINT) AS a", "l_partkey % 997 + 100000 AS b").distinct()
-    both = lk.selectExpr("a AS src", "b AS dst").union(lk.selectExpr("b", "a")).distinct()
+    # Prefixes keep parts and suppliers of the same number apart.
+    lk = t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    both = durable(lk.selectExpr("a AS src", "b AS dst").union(lk.selectExpr("b", "a")))
     return nb.connected_components(both, both.selectExpr("src AS id").distinct())
 
 

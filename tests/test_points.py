@@ -7,6 +7,7 @@ from cellsift.operators import bootstrap as bs
 from cellsift.operators import embedding as em
 from cellsift.operators import neighbors as nb
 from cellsift.operators import refine as rf
+from cellsift.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +128,16 @@ def test_bootstrap_draws_and_verdict(spark):
     boots = bs.boot_metrics(sc, 50, 1)
     assert {r["verdict"] for r in bs.bootstrap_deltas(boots, 50).collect()} == {"R4"}
     assert bs.cluster_bootstrap(boots, 50).where("run = 'a' AND metric = 'strict'").first()["ci_low"] == 1.0
+
+
+def test_components_of_all_lines(spark, tmp_path):
+    """Parts 5 and 1002, suppliers 1 and 280, part 3 and supplier 3 stay apart; no line has the quantity and discount of a subset."""
+    pairs = [(5, 1), (6, 1), (1002, 2), (7, 2), (3, 4), (8, 3), (9, 280), (9, 41), (10, 41), (10, 41), (11, 12)]
+    rows = [(p, s, 1.0, 0.0) for p, s in pairs]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["id"]: r["component"] for r in catalog.QUERIES["connected_components"](spark, str(tmp_path)).collect()}
+    want = {x: x for p, s in pairs for x in (f"p{p}", f"s{s}")}
+    for _ in want:
+        for p, s in pairs:
+            want[f"p{p}"] = want[f"s{s}"] = min(want[f"p{p}"], want[f"s{s}"])
+    assert got == want and len(set(got.values())) == 6
