@@ -12,7 +12,9 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # Runs of fewer digits would be dropped anyway.
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![0-9A-Za-z_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![0-9A-Za-z_])"
+# Only the head is consumed, so the next number may begin within the run that follows. The run takes one character more
+# where it ends inside a word.
+IBAN = r"(?<![0-9A-Za-z_])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[0-9A-Za-z_]?))"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 #: Kinds in order; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -53,6 +55,15 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)).cast("int")) == 1
 
 
+def _account(run: Column) -> Column:
+    """Code points of the longest account number at the start of a run, tried at each word boundary; null if none passes."""
+    def passes(end):
+        code = F.regexp_replace(F.substr(run, F.lit(1), end), " ", "")
+        return ~F.substr(run, end + 1, F.lit(1)).rlike("[0-9A-Za-z_]") & code.rlike("^[A-Z0-9]{15,34}$") & mod97(code)
+
+    return F.array_max(F.filter(F.sequence(F.lit(15), F.length(run)), passes))
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     digits = _digits(match)
     if kind == "ip":
@@ -61,8 +72,6 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(14, 19) & luhn(digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    if kind == "iban":
-        return mod97(F.regexp_replace(match, " ", ""))
     return F.lit(True)
 
 
@@ -70,23 +79,33 @@ SPAN = "array<struct<start:int,kind:int,end:int,score:int>>"
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """Confirmed spans of one kind: the texts between matches and the matches, in turn, give the places."""
+    """Confirmed spans of one kind: the texts between matches and the matches, in turn, give the places.
+
+    The match of an account number is its head; the longest number that passes behind the last span counts.
+    """
     pattern, order = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN}[kind], KINDS.index(kind)
     matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "iban" else F.array().cast("array<string>")
 
     def add(acc, i):
         match = F.get(acc["m"], i)
         start = (acc["at"] + F.length(F.get(acc["b"], i))).cast("int")
-        end = (start + F.length(match)).cast("int")
+        after = (start + F.length(match)).cast("int")
+        if kind == "iban":
+            end = (start + _account(F.concat(match, F.get(acc["r"], i)))).cast("int")
+            last = F.coalesce(F.get(acc["spans"], F.size(acc["spans"]) - 1)["end"], F.lit(0))
+            confirmed = (start >= last) & end.isNotNull()
+        else:
+            end, confirmed = after, _confirmed(kind, match)
         before = F.substr(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
         near = before.rlike(rf"(?i)(?:^|[^A-Za-z])(?:{CONTEXT[kind]})(?:[^A-Za-z]|$)")
         score = (F.lit(SCORES[kind]) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0))).cast("int")
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), score.alias("score")))
         return F.struct(
-            end.alias("at"), acc["m"].alias("m"), acc["b"].alias("b"),
-            F.when(_confirmed(kind, match), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+            after.alias("at"), acc["m"].alias("m"), acc["b"].alias("b"), acc["r"].alias("r"),
+            F.when(confirmed, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), matches.alias("m"), between.alias("b"), F.array().cast(SPAN).alias("spans"))
+    begin = F.struct(F.lit(0).alias("at"), matches.alias("m"), between.alias("b"), runs.alias("r"), F.array().cast(SPAN).alias("spans"))
     found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, add, lambda acc: acc["spans"])
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
@@ -100,7 +119,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Spans of personal data of every whole text, one row per row of ``docs``.
 
     Returns (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, scores). Base kinds are e-mail, IP (parts
-    up to 255), card (14 to 19 digits, Luhn) and phone (10 to 15 digits); the method adds account numbers (mod-97).
+    up to 255), card (14 to 19 digits, Luhn) and phone (10 to 15 digits); the method adds account numbers (15 to 34 characters, mod-97
+    at each word boundary, the longest that passes).
     Matches are the leftmost ones per kind and do not overlap within a kind; kinds may overlap each other. Places are
     code points, the end exclusive. Every confirmed span stays; its score (0 to 100, in the order of ``spans``) rises
     by 20 where a context word stands within 40 code points before it. Null and empty texts have no spans: empty

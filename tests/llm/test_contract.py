@@ -248,6 +248,30 @@ def test_spans_equal_sql(spark, tmp_path):
     assert by.n_email[0] == 3 and by.n_ip[1] == 3 and by.n_card[2] == 1 and "iban:7:34" in by.spans[4]
 
 
+def plain_accounts(t):
+    """Leftmost, then longest, account numbers that end at a word boundary and leave 1 modulo 97."""
+    out, at = [], 0
+    while at < len(t):
+        ends = [e for e in range(at + 15, len(t) + 1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", t[at:e])
+                and not re.match(r"\w", t[e:], re.A) and not re.search(r"\w$", t[:at], re.A)]
+        codes = {e: t[at:e].replace(" ", "") for e in ends}
+        good = [e for e, c in codes.items() if int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1]
+        out += [f"iban:{at}:{max(good)}"] if good else []
+        at = max(good, default=at + 1)
+    return out
+
+
+def test_accounts_before_other_words(spark):
+    a, b = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    flat = a.replace(" ", "")
+    texts = [f"{a} BIC COBADEFFXXX", f"{flat} 2024", f"{a} {b}", f"{flat} {a} {b} {flat}", f"AB12 {a} X", f"é😀 {a} Bank", f"{a}x {flat}_ {flat}é",
+             f"NO9386011117947 {flat}", f"MT84MALT011000012345MTLCAST001S 12 {a}", f"{a[:-1]} BIC", f"A{a}", f"AB12 CD34 {a[:-3]} 01"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("iban")] for r in pii.find(docs).collect()}
+    assert got == {i: plain_accounts(t) for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(10)] == [1, 1, 2, 4, 1, 1, 1, 2, 2, 0] and got[0] == ["iban:0:27"] and got[1] == ["iban:0:22"]
+
+
 def test_spans_of_odd_rows_equal_sql(spark, odd, tmp_path):
     same(pii.find(odd).toPandas(), by_sql(spark, odd, "op4_pii", tmp_path))
 
