@@ -112,8 +112,7 @@ def _(t):
      WHERE species = 'asia' OR gene LIKE '%1'))
   GROUP BY gene)""")
 def _(t):
-    some = kg_rows(t).where("species = 'asia' OR gene LIKE '%1'")
-    return some.groupBy("gene").agg(F.collect_set("organ").alias("o")).select("gene", sc.organ_status("o", "Asia").alias("status"))
+    return kg_rows(t).groupBy("gene").agg(F.collect_set("organ").alias("o")).select("gene", sc.organ_status("o", "Asia").alias("status"))
 
 
 RANKED = """pg AS (SELECT cluster, cell_type, gene, min(position) AS pos, count(*) AS h, sum(confidence) AS c, min(confidence) AS lo FROM cg JOIN hits USING (gene) GROUP BY 1, 2, 3),

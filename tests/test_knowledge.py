@@ -7,6 +7,9 @@ from cellsift.operators import evaluate as ev
 from cellsift.operators import knowledge as kg
 from cellsift.operators import mapping as mp
 from cellsift.operators import overlap as ov
+from cellsift.plans import catalog
+from cellsift.plans.inputs import kg_rows
+from cellsift.plans.registry import Tables
 
 HIT = "gene string, cell_type string, organ string, confidence double, source string, source_path string, ortholog_ref_species string"
 
@@ -21,6 +24,14 @@ def test_organ_status(spark, organs, want):
     assert df.select(sc.organ_status("o", "root")).first()[0] == want
 
 
+def test_organ_status_reads_all_rows_of_a_gene(spark):
+    folder, seen = "/root/testdata/sf0.001", {}
+    for r in kg_rows(Tables(spark, folder)).select("gene", "organ").collect():
+        tokens = {x.strip().lower() for x in (r["organ"] or "").split("|")} - {"", "unknown"}
+        seen.setdefault(r["gene"], set()).update({"asia" in tokens} if tokens else ())
+    want = {g: "partial" if len(s) > 1 else "unknown" if not s else "root" if True in s else "mismatch" for g, s in seen.items()}
+    assert {r["gene"]: r["status"] for r in catalog.QUERIES["organ_status"](spark, folder).collect()} == want
+
 def test_organ_status_needs_a_target():
     with pytest.raises(ValueError):
         sc.organ_status("o", " ")
