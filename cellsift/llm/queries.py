@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm import contamination, language, mixing, neardup, pii, quality, scoring, sharding, tokens, toxicity
+from cellsift.llm import contamination, language, mixing, neardup, pii, quality, repair, scoring, sharding, tokens, toxicity
 from cellsift.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,13 @@ def op10_lm_scoring(spark, sf_dir):
     return scoring.score_texts(_table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
 
 
+@_query
+def op13_conversation_repair(spark, sf_dir):
+    """Every conversation's rows after damage, repaired; the digest is of the repaired lines."""
+    turns = repair.damage(_table(spark, sf_dir, "conversations"))
+    return repair.repair(turns, times_col="times").withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------
 
 _PATTERNS = {
