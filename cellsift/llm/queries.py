@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm import contamination, language, mixing, neardup, pii, quality, repair, scoring, sharding, tokens, toxicity
+from cellsift.llm import contamination, language, mixing, neardup, phrases, pii, quality, repair, scoring, sharding, tokens, toxicity
 from cellsift.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op10_lm_scoring(spark, sf_dir):
     return scoring.score_texts(_table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
 
 
+@_query
+def op11_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_conversation_repair(spark, sf_dir):
     """Every conversation's rows after damage, repaired; the digest is of the repaired lines."""
@@ -160,3 +165,20 @@ SQL["op7_decontamination"] = f"""WITH d AS (SELECT row_number() OVER () AS rid,
   t AS (SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT rid, item_id FROM h) GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""
+
+SQL["op11_phrase_collocations"] = r"""WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+  t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+  g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS m))),
+  f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+  c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+  s AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score, k FROM c JOIN t ON t.lang = c.lang
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[z:z + q - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, m - q + 2)) AS z FROM (SELECT DISTINCT lang, w, a, m, unnest(range(2, m)) AS q FROM c))) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+  QUALIFY rank <= 2000"""
