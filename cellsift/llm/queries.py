@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsift.llm import contamination, language, mixing, neardup, phrases, pii, quality, repair, scoring, sharding, tokens, toxicity
+from cellsift.llm import contamination, language, mixing, neardup, phrases, pii, quality, repair, repeats, scoring, sharding, tokens, toxicity
 from cellsift.llm.text import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,12 @@ def op11_phrase_collocations(spark, sf_dir):
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op13_conversation_repair(spark, sf_dir):
     """Every conversation's rows after damage, repaired; the digest is of the repaired lines."""
