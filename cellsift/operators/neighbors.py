@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from cellsift.operators.distribution import describe
+from cellsift.operators.hot import least_neighbors
 from cellsift.session import durable
 
 
@@ -167,28 +168,32 @@ def graph_stats(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataF
         "density", F.col("n_edges") / F.greatest(F.col("n_nodes") * F.col("n_nodes"), F.lit(1)))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str = "id", max_rounds: int | None = None) -> DataFrame:
-    """(id, component): smallest id reachable.
+def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, component): smallest id reachable; a node without edges is its own component.
 
-    Each round takes the smallest label among the neighbours and then that label's
-    own label, which halves the distance to the root; state is stored every round,
-    so the plan does not grow and a lost executor costs one round.
+    Two-phase stars, until nothing changes: every node passes the smallest id of its neighbourhood to its larger
+    neighbours, then a node and its smaller neighbours take the smallest of these. The links are stored every round,
+    so the plan does not grow and a lost executor costs one round. The minima are combined before the shuffle, and a
+    hub's links are not gathered (see ``least_neighbors``), so no task holds a hub.
     """
-    state = durable(nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")))
-    links = durable(edges.select("src", "dst").distinct())
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        seen = links.join(state.select(F.col("id").alias("dst"), F.col("component").alias("_c")), "dst").groupBy(
-            F.col("src").alias("id")).agg(F.min("_c").alias("_c"))
-        lower = state.join(seen, "id", "left").select("id", F.least("component", F.coalesce("_c", "component")).alias("_m"), F.col("component").alias("_old"))
-        jump = state.select(F.col("id").alias("_m"), F.col("component").alias("_up"))
-        new = durable(lower.join(jump, "_m", "left").select("id", F.least("_m", F.coalesce("_up", "_m")).alias("component"), "_old"))
-        moved = not new.where("component <> _old").isEmpty()
-        state = new.select("id", "component")
-        if not moved:
-            return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    now = durable(edges.where("src <> dst").select(high.alias("a"), low.alias("b")).distinct())
+    rows, mark = now.count(), None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = durable(least_neighbors(both, 2 * rows).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
+        rows = large.count()
+        small = least_neighbors(large, rows)
+        now = durable(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+            small.select("a", F.col("m").alias("b"))).distinct())
+        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if new == mark:
+            break
+        rows, mark = new[0], new
+    # Every larger node now has one link, to the smallest node of its component.
+    ids = nodes.select(F.col(id_col).alias("id"))
+    return ids.join(now.select(F.col("a").alias("id"), F.col("b").alias("_low")), "id", "left").select(
+        "id", F.coalesce("_low", "id").alias("component"))
 
 
 def clustering_coefficient(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:

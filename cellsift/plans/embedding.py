@@ -49,9 +49,12 @@ def _(t):
     return rounded(nb.graph_stats(edges(t), points(t)))
 
 
-@query("connected_components", with_sql("""lk AS (SELECT DISTINCT l_suppkey % 40 * 7 + l_suppkey // 40 AS a, l_partkey % 997 + 100000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)""").replace("WITH ", "WITH RECURSIVE ") + """,
-  bo AS (SELECT a AS src, b AS dst FROM lk UNION SELECT b, a FROM lk), nd AS (SELECT DISTINCT src AS id FROM bo),
-  re AS (SELECT id, id AS r FROM nd UNION SELECT re.id, bo.dst FROM re JOIN bo ON bo.src = re.r) SELECT id, min(r) AS component FROM re GROUP BY 1""")
+# Suppliers reach each other over common parts; a part has the component of any of its suppliers.
+@query("connected_components", """WITH RECURSIVE lk AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem),
+  ss AS (SELECT DISTINCT a.s AS x, b.s AS y FROM lk a JOIN lk b USING (p)),
+  re AS (SELECT DISTINCT s AS id, s AS r FROM lk UNION SELECT re.id, ss.y FROM re JOIN ss ON ss.x = re.r),
+  lo AS (SELECT id, min(p) AS component FROM re JOIN lk ON lk.s = re.r GROUP BY 1)
+  SELECT id, component FROM lo UNION ALL SELECT p, any_value(component) FROM lk JOIN lo ON lo.id = lk.s GROUP BY 1""")
 def _(t):
     # Prefixes keep parts and suppliers of the same number apart.
     lk = t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()

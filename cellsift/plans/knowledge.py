@@ -108,8 +108,7 @@ def _(t):
 
 @query("organ_status", with_sql(ROWS) + """SELECT gene, CASE WHEN y AND n THEN 'partial' WHEN y THEN 'root' WHEN n THEN 'mismatch' ELSE 'unknown' END AS status FROM (
   SELECT gene, bool_or(m) AS y, bool_or(NOT m) AS n FROM (SELECT gene, CASE WHEN len(tk) > 0 THEN list_contains(tk, 'asia') END AS m FROM
-    (SELECT gene, list_filter(list_transform(string_split(organ, '|'), lambda x: lower(trim(x))), lambda x: x <> '' AND x <> 'unknown') AS tk FROM rws
-     WHERE species = 'asia' OR gene LIKE '%1'))
+    (SELECT gene, list_filter(list_transform(string_split(organ, '|'), lambda x: lower(trim(x))), lambda x: x <> '' AND x <> 'unknown') AS tk FROM rws))
   GROUP BY gene)""")
 def _(t):
     return kg_rows(t).groupBy("gene").agg(F.collect_set("organ").alias("o")).select("gene", sc.organ_status("o", "Asia").alias("status"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cellsift.operators import bootstrap as bs
 from cellsift.operators import embedding as em
+from cellsift.operators import hot
 from cellsift.operators import neighbors as nb
 from cellsift.operators import refine as rf
 from cellsift.plans import catalog
@@ -141,3 +142,41 @@ def test_components_of_all_lines(spark, tmp_path):
         for p, s in pairs:
             want[f"p{p}"] = want[f"s{s}"] = min(want[f"p{p}"], want[f"s{s}"])
     assert got == want and len(set(got.values())) == 6
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """A hub of many leaves, chains that hang on it, and small parts apart."""
+    monkeypatch.setattr(hot, "LEAST", 8)
+    rng = np.random.default_rng(3)
+    pairs = [(5_000, i) for i in range(3_000)] + [(i, i + 1) for i in range(6_000, 6_200)] + [(6_000, 17)] + [
+        tuple(map(int, p)) for p in rng.integers(10_000, 12_000, (1_200, 2))]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    edges = spark.createDataFrame(pairs, "src int, dst int").repartition(7)
+    nodes = spark.createDataFrame([(x,) for x in [*parent, -1]], "id int")
+    got = {r["id"]: r["component"] for r in nb.connected_components(edges, nodes).collect()}
+    low = {}
+    for x in parent:
+        low[root(x)] = min(x, low.get(root(x), x))
+    assert got == {**{x: low[root(x)] for x in parent}, -1: -1}
+
+
+def test_hot_join(spark, monkeypatch):
+    monkeypatch.setattr(hot, "LEAST", 5)
+    rows = [(1, i) for i in range(40)] + [(2, 0), (None, 1), (None, 2), (3, 3)] + [(None, i) for i in range(10, 30)] + [(9, i) for i in range(50)]
+    left, right = spark.createDataFrame(rows, "k int, v int"), spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (4, "d")], "k int, w string")
+    table = {1: "a", 2: "b", None: "n"}
+    got = sorted(map(tuple, hot.hot_join(left, right, ["k"]).collect()), key=repr)
+    assert got == sorted([(k, v, table.get(k)) for k, v in rows], key=repr)
+    got = sorted(map(tuple, hot.hot_join(left, right, ["k"], "inner").collect()), key=repr)
+    assert got == sorted([(k, v, table[k]) for k, v in rows if k in table], key=repr)
+    plan = hot.hot_join(left, right, ["k"])._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan
