@@ -216,12 +216,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, F.col(text_col).alias("text"), *keep).mapInArrow(run, T.StructType(fields))
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: all but null texts and texts without a letter.
+
+    A text of several languages stays, however its words are dealt. An empty table stays empty; repeated rows stay.
+    """
 
     def run(batches):
         for part in slices(batches, text_col, SLICE):
-            best, share, _, _ = model.label(part.column(part.schema.get_field_index(text_col)))
-            yield part.filter(pa.array((best >= 0) & (share >= least)))
+            best, *_ = model.label(part.column(part.schema.get_field_index(text_col)))
+            yield part.filter(pa.array(best >= 0))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsift.llm.text import SPACE, fresh
+from cellsift.llm.text import SPACE, fresh, row_hash
 from cellsift.operators.running import running
 from cellsift.session import durable
 
@@ -124,17 +124,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` takes its words, rounded: at most twice.
 
-    Only the text at a source's cut is taken in part; it is rounded. Rows without words are not taken.
+    Only the text at a source's cut is taken in part; it is rounded. Rows without words are not taken. Rows of one id,
+    text and source that differ in other columns are rows of their own, in the order of a hash of all columns. An
+    empty table stays empty.
     """
-    mark, times = fresh(docs, "llm_mark"), fresh(docs, "llm_times")
-    marked = docs.withColumn(mark, F.xxhash64(text_col))
-    read = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(mark).alias("mark"), F.col(source_col).alias("origin"))
-    mixed = mix(read, "id", "text", "source", ("mark", "origin")).filter("size > 0")
+    mark, pick, times = fresh(docs, "llm_mark"), fresh(docs, "llm_pick"), fresh(docs, "llm_times")
+    marked = docs.withColumns({mark: F.xxhash64(text_col), pick: row_hash(docs)})
+    read = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"),
+                         F.col(mark).alias("mark"), F.col(pick).alias("pick"), F.col(source_col).alias("origin"))
+    mixed = mix(read, "id", "text", "source", ("mark", "pick", "origin")).filter("size > 0")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    # Equal rows, of which there is one in the join, share their copies.
-    counts = mixed.groupBy("id", "mark", "origin").agg(F.sum(copies).alias("times_")).filter("times_ > 0")
-    rows = marked.dropDuplicates([id_col, mark, source_col])
-    same = rows[id_col].eqNullSafe(counts["id"]) & (rows[mark] == counts["mark"]) & rows[source_col].eqNullSafe(counts["origin"])
+    # Rows equal in all columns, of which there is one in the join, share their copies.
+    counts = mixed.groupBy("id", "mark", "pick", "origin").agg(F.sum(copies).alias("times_")).filter("times_ > 0")
+    rows = marked.dropDuplicates([id_col, mark, pick, source_col])
+    same = rows[id_col].eqNullSafe(counts["id"]) & (rows[mark] == counts["mark"]) & (rows[pick] == counts["pick"]) & rows[source_col].eqNullSafe(counts["origin"])
     joined = rows.join(counts.withColumnsRenamed({"times_": times}), same)
     kept = [rows[c] for c in docs.columns]
     return joined.select(*kept, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)

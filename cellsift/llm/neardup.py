@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellsift.llm.text import fresh, slices, words
+from cellsift.llm.text import fresh, row_hash, slices, words
+from cellsift.operators.hot import hot_join, least_neighbors
 from cellsift.session import durable
 
 #: Differing bits of a link, and the segments that a fingerprint is cut into.
@@ -164,41 +165,41 @@ def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node that can be reached.
 
-    Alternating large and small stars; every round is checkpointed, and a hub's rows are only joined and
-    reduced, never gathered. Stops when nothing changes.
+    Alternating large and small stars until nothing changes; every round is checkpointed. The smallest neighbours are
+    found by partial minima and a hub's rows meet theirs in a broadcast of at most a thousand hubs, so no task holds a hub.
     """
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now, mark = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
-    for _ in range(rounds):
+    now = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows, mark = now.count(), None
+    while True:
         # Large star: the larger neighbours of a node take the smallest of its neighbourhood.
-        near = both(now)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = durable(least_neighbors(near, 2 * rows).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
         # Small star: a node and its smaller neighbours take the smallest of these.
-        lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lows, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a != b")
-        now = durable(small.distinct())
+        small = least_neighbors(large, large.count())
+        now = durable(small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = new
-    raise RuntimeError("components still change; raise the number of rounds")
+        rows, mark = new[0], new
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, fp, root, component_id, *keep): as ``near_duplicates``; ``root`` is the group's smallest fingerprint."""
+    """(id, fp, root, component_id, *keep): as ``near_duplicates``; ``root`` is the group's smallest fingerprint.
+
+    Rows of a fingerprint, or fingerprints of a group, that are a large share of all meet their group in a broadcast.
+    """
     prints = durable(fingerprints(docs, id_col, text_col, keep).withColumnsRenamed({id_col: "id"}))
     firsts = durable(prints.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(firsts.select("fp")))
     placed = durable(firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")))
     heads = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = placed.select("fp", "root").join(heads, "root").select("fp", "root", "component_id")
-    return prints.join(member, "fp").select("id", "fp", "root", "component_id", *keep)
+    member = durable(hot_join(placed.select("fp", "root"), heads, ["root"]))
+    return hot_join(prints, member, ["fp"]).select("id", "fp", "root", "component_id", *keep)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,12 +216,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each near-duplicate group: the one of the smallest id.
 
-    Among rows of that id the text with the smallest hash stays; rows without an id come last.
+    Rows without an id come last. Among rows of that id the text with the smallest hash stays, among rows of that text
+    the one with the smallest hash of all columns; of equal rows one stays. Null and empty texts are one group. An empty
+    table stays empty.
     """
-    mark = fresh(docs, "llm_mark")
-    marked = docs.withColumn(mark, F.xxhash64(text_col))
-    found = groups(marked.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(mark).alias("mark")), "doc", "text", ("mark",))
-    heads = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("head")).select(
-        F.col("head.id").alias("head_id"), F.col("head.mark").alias("head_mark"))
-    rows = marked.dropDuplicates([id_col, mark])
-    return rows.join(heads, rows[id_col].eqNullSafe(F.col("head_id")) & (rows[mark] == F.col("head_mark")), "left_semi").drop(mark)
+    mark, pick = fresh(docs, "llm_mark"), fresh(docs, "llm_pick")
+    marked = docs.withColumns({mark: F.xxhash64(text_col), pick: row_hash(docs)})
+    found = groups(marked.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(mark).alias("mark"), F.col(pick).alias("pick")), "doc", "text", ("mark", "pick"))
+    heads = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark", "pick")).alias("head")).select(
+        F.col("head.id").alias("head_id"), F.col("head.mark").alias("head_mark"), F.col("head.pick").alias("head_pick"))
+    rows = marked.dropDuplicates([id_col, mark, pick])
+    same = rows[id_col].eqNullSafe(F.col("head_id")) & (rows[mark] == F.col("head_mark")) & (rows[pick] == F.col("head_pick"))
+    return rows.join(heads, same, "left_semi").drop(mark, pick)

@@ -77,6 +77,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, the same in any order of the rows."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
 def sample_rate(rows: int, wanted: int) -> float:
     return 1.0 if rows <= wanted else wanted / rows
 

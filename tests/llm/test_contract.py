@@ -518,3 +518,36 @@ def test_pipeline_equals_its_parts(spark):
     want = Counter({int(doc): int(taken / size + 0.5) for doc, taken, size in zip(mixed.doc_id, mixed.taken, mixed["size"]) if taken})
     got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").collect())
     assert got == +want
+
+
+def test_rows_that_differ_elsewhere(spark):
+    """Rows of one id, text and source but other columns are each taken; of a group the same one stays on every run."""
+    rows = [(1, "a b c", "s", "en"), (1, "a b c", "s", "de"), (1, "a b c", "s", "de"), (2, None, None, "fr"), (2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    taken = [tuple(r) for n in (1, 3) for r in sorted(mixing.take(docs.repartition(n)).collect(), key=repr)]
+    half = len(taken) // 2
+    assert taken[:half] == taken[half:]
+    mixed = [round(r["taken"] / r["size"] + 1e-9) for r in mixing.mix(docs).collect() if r["size"]]
+    assert half == sum(mixed) and {r[3] for r in taken} == {"en", "de"} and sum(r[3] == "en" for r in taken[:half]) <= 2
+    ones = [sorted(map(tuple, neardup.keep_one(docs.repartition(n)).collect()), key=repr) for n in (1, 2, 5)]
+    assert ones[0] == ones[1] == ones[2] and [r[0] for r in ones[0]] == [1, 2] and set(ones[0]) <= set(rows)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from cellsift.operators import hot
+
+    monkeypatch.setattr(hot, "LEAST", 4)
+    rng = random.Random(8)
+    edges = [(900, i) for i in range(400)] + [(i, i + 1) for i in range(1_000, 1_060)] + [(rng.randint(2_000, 2_400), rng.randint(2_000, 2_400)) for _ in range(250)]
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(found.get(x, x) == root for x, root in label.items()) and set(found) <= set(label)
+
+
+def test_texts_of_many_languages_stay(spark):
+    model = language.Model(["de", "en", "fr"], np.zeros((language.SLOTS, 3), np.float32), np.zeros((3, 3), np.float32))
+    docs = spark.createDataFrame([(1, "der the le"), (2, None), (3, " 12 "), (4, "")], "doc_id long, text string")
+    assert [r[0] for r in language.keep_identified(docs, model).collect()] == [1]
