@@ -10,7 +10,7 @@ from cellsift.session import durable
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language, or whose language covers less than half of their words."""
+    """Drops texts without a language: null texts and texts without a letter."""
     return language.keep_identified(docs, language.fit(docs, ~held_out("doc_id", 4, 2)))
 
 
