@@ -23,41 +23,6 @@ def sample_rows(points: DataFrame, n: int | None, seed: int = 0, id_col: str = "
     return points.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), id_col).limit(n)
 
 
-def pca(scaled: DataFrame, k: int = 50, cell: str = "cell_id", gene: str = "gene_id", value: str = "scaled_raw"):
-    """(model, points, genes): principal components of a sparse matrix in long form.
-
-    ``value`` is already divided by the gene's spread; the covariance ignores the
-    mean, so no centred grid is needed. Features are the selected genes, a few
-    thousand, and a cell's row is filled in only on its way into the covariance.
-    """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    names = scaled.select(gene).distinct().orderBy(gene)
-    listed = [r[0] for r in names.limit(65536).collect()]
-    if len(listed) > 65535:
-        raise ValueError("more than 65535 features; select variable genes first")
-    width = len(listed)
-    index = scaled.sparkSession.createDataFrame(list(enumerate(listed)), ["_i", gene])
-
-    rows = scaled.join(index, gene).groupBy(cell).agg(
-        F.collect_list(F.col("_i").cast("int")).alias("_i"), F.collect_list(F.col(value).cast("double")).alias("_x"))
-    schema = T.StructType([T.StructField("id", scaled.schema[cell].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
-
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.zeros((len(pdf), width))
-            for r, (i, x) in enumerate(zip(pdf["_i"], pdf["_x"])):
-                out[r, i] = x
-            yield pd.DataFrame({"id": pdf[cell], "x": list(out)})
-
-    # Fitting passes over the rows several times.
-    vectors = durable(rows.mapInPandas(dense, schema)).select(F.col("id").alias(cell), array_to_vector("x").alias("_v"))
-    model = PCA(k=min(k, width), inputCol="_v", outputCol="_o").fit(vectors)
-    points = model.transform(vectors).select(F.col(cell).alias("id"), vector_to_array("_o").alias("x"))
-    return model, points, listed
-
-
 def sparse_scaled(norm: DataFrame, n_cells: int, max_value: float = 10.0, gene: str = "gene_id", value: str = "norm") -> DataFrame:
     """Values clipped at mean + max_value spreads, over the spread: scaling without centring."""
     v = F.col(value)
@@ -84,21 +49,6 @@ def variance_summary(ratios: DataFrame) -> DataFrame:
         (F.max_by("pc", F.when(F.col("_drop").isNotNull(), F.struct("_drop", -F.col("pc")))) + 1).alias("knee"))
 
 
-def model_ratios(model, spark) -> DataFrame:
-    ratios = [(i + 1, float(r)) for i, r in enumerate(model.explainedVariance.toArray())]
-    return spark.createDataFrame(ratios, "pc int, ratio double")
-
-
-def top_loadings(model, genes: Sequence[str], spark, k: int = 10) -> DataFrame:
-    """Genes with the largest absolute weight on the first two components."""
-    w = model.pc.toArray()
-    rows = []
-    for pc in range(min(2, w.shape[1])):
-        for r, i in enumerate(np.argsort(-np.abs(w[:, pc]), kind="stable")[:k]):
-            rows.append((pc + 1, r + 1, genes[i]))
-    return spark.createDataFrame(rows, "pc int, rank int, gene_id string")
-
-
 def silhouette(points: DataFrame, max_n: int | None = None, seed: int = 0, id_col: str = "id", vec: str = "x",
                cluster: str = "cluster", block: int = 1024) -> DataFrame:
     """(id, cluster, a, b, silhouette) with Euclidean distances.

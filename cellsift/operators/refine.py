@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cellsift.operators.distribution import describe, valley
-from cellsift.operators.embedding import _centroids, model_ratios, pca, sparse_scaled
+from cellsift.operators.components import principal_components
+from cellsift.operators.embedding import _centroids, sparse_scaled
 from cellsift.operators.markers import filter_markers, rank_genes
 from cellsift.operators.neighbors import autocorrelation, knn_join
 from cellsift.operators.normalize import normalize_log
@@ -200,7 +201,7 @@ def doublet_scores(
     both = base.unionByName(made)
     normed = durable(normalize_log(both, cell="_c", count=count))
     scaled = sparse_scaled(normed, n + n_sim, gene=gene)
-    _, points, _ = pca(scaled, pcs, cell="_c", gene=gene)
+    points = durable(principal_components(scaled, pcs, cell="_c", feature=gene).scores)
     k_all = max(int(round(k * (1 + ratio))), 1)
     near = knn_join(points, k_all)
     share = near.groupBy("id").agg(F.count_if(F.col("nbr").startswith("sim")).alias("_s"))

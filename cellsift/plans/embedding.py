@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellsift.operators import ann
 from cellsift.operators import candidates as cd
 from cellsift.operators import embedding as em
 from cellsift.operators import neighbors as nb
 from cellsift.operators import refine as rf
+from cellsift.operators.components import principal_components
 from cellsift.plans.inputs import (CELLS, CG, EXPR, HITS, NORM, ORTH, ROWS, cells, cluster_genes, hits, matrix, n_cells,
                                    norm, with_sql)
 from cellsift.plans.knowledge import GAP, RANKED, candidates, gaps
@@ -38,6 +40,23 @@ def _(t):
     return rounded(nb.knn_join(points(t), 10))
 
 
+# No SQL finds the same approximation; the next query holds it against the exact neighbours.
+@query("knn_approx")
+def _(t):
+    return rounded(ann.knn_approx(points(t), 10, leaf=128))
+
+
+@query("knn_recall", with_sql(P, KNN) + """SELECT (SELECT count(*) FROM pt) AS n_points, count(*) AS n_neighbors, true AS recall_reached, true AS distances_exact,
+  round(sum(dist), 4) AS exact_sum FROM kn""")
+def _(t):
+    exact = durable(nb.knn_join(points(t), 10))
+    found = ann.knn_approx(points(t), 10, leaf=128).select("id", "nbr", F.col("dist").alias("near"))
+    both = exact.join(found, ["id", "nbr"], "left")
+    return both.agg(
+        F.countDistinct("id").alias("n_points"), F.count("*").alias("n_neighbors"), (F.count("near") / F.count("*") >= 0.9).alias("recall_reached"),
+        (F.max(F.abs(F.col("near") - F.col("dist"))) < 1e-9).alias("distances_exact"), F.round(F.sum("dist"), 4).alias("exact_sum"))
+
+
 @query("knn_graph", G + "SELECT src, dst, round(weight, 6) AS weight FROM ed")
 def _(t):
     return rounded(edges(t))
@@ -212,28 +231,53 @@ def _(t):
 
 
 def _pca(t):
-    return em.pca(em.sparse_scaled(norm(t), n_cells(t)), 10)
+    return principal_components(em.sparse_scaled(norm(t), n_cells(t)), 10)
 
 
 @query("pca")
 def _(t):
-    return _pca(t)[1]
+    return _pca(t).scores
+
+
+# What holds for any components: orthonormal loadings, scores that are rows times loadings and spread as the variances say,
+# and the variance of all genes.
+@query("pca_invariants", with_sql(EXPR, NORM, """gs AS (SELECT gene_id, sum(norm) / c AS m, sqrt(greatest((sum(norm * norm) - sum(norm) ** 2 / c) / (c - 1), 0)) AS d FROM norm, (SELECT count(*) AS c FROM customer) GROUP BY gene_id, c),
+  sv AS (SELECT cell_id, gene_id, least(norm, m + 10 * d) / CASE WHEN d = 0 THEN 1 ELSE d END AS v FROM norm JOIN gs USING (gene_id)),
+  tv AS (SELECT sum((q - s * s / c) / (c - 1)) AS total FROM (SELECT sum(v) AS s, sum(v * v) AS q, any_value(c) AS c FROM sv, (SELECT count(DISTINCT cell_id) AS c FROM norm) GROUP BY gene_id)),
+  k AS (SELECT unnest(range(1, 11))::INT AS i)""") + """ SELECT 'loadings' AS item, a.i, b.i AS j, (a.i = b.i)::INT::DOUBLE AS value FROM k a, k b
+  UNION ALL SELECT 'spread', i, i, 1.0 FROM k UNION ALL SELECT 'scores', i, i, 0.0 FROM k UNION ALL SELECT 'total', 0, 0, round(total, 4) FROM tv UNION ALL SELECT 'order', 0, 0, 1.0""")
+def _(t):
+    scaled = durable(em.sparse_scaled(norm(t), n_cells(t)))
+    found = principal_components(scaled, 10)
+    k = len(found.variances)
+    scores, loadings = durable(found.scores), durable(found.loadings)
+    at = lambda c, i: F.get(c, F.lit(i))
+    # One row of sums each; components are few.
+    dots = loadings.agg(F.array(*[F.sum(at("w", i) * at("w", j)) for i in range(k) for j in range(k)]).alias("v")).select(F.posexplode("v").alias("n", "value")).select(
+        F.lit("loadings").alias("item"), (F.floor(F.col("n") / k) + 1).cast("int").alias("i"), (F.col("n") % k + 1).cast("int").alias("j"), F.round("value", 6).alias("value"))
+    spread = scores.agg(F.array(*[F.var_samp(at("x", i)) / F.lit(found.variances[i]) for i in range(k)]).alias("v")).select(F.posexplode("v").alias("n", "value")).select(
+        F.lit("spread").alias("item"), (F.col("n") + 1).alias("i"), (F.col("n") + 1).alias("j"), F.round("value", 4).alias("value"))
+    again = scaled.join(loadings, "gene_id").groupBy(F.col("cell_id").alias("id")).agg(*[F.sum(F.col("scaled_raw") * at("w", i)).alias(f"y{i}") for i in range(k)])
+    off = scores.join(again, "id").agg(F.array(*[F.max(F.abs(at("x", i) - F.col(f"y{i}"))) for i in range(k)]).alias("v")).select(F.posexplode("v").alias("n", "value")).select(
+        F.lit("scores").alias("item"), (F.col("n") + 1).alias("i"), (F.col("n") + 1).alias("j"), F.round("value", 6).alias("value"))
+    falling = found.variances == sorted(found.variances, reverse=True) and sum(found.variances) <= found.total_variance * (1 + 1e-9)
+    rest = t.spark.createDataFrame([("total", 0, 0, round(found.total_variance, 4)), ("order", 0, 0, float(falling))], "item string, i int, j int, value double")
+    return dots.unionByName(spread).unionByName(off).unionByName(rest).withColumn("value", F.col("value") + 0.0)
 
 
 @query("variance_explained")
 def _(t):
-    return em.variance_explained(em.model_ratios(_pca(t)[0], t.spark))
+    return em.variance_explained(_pca(t).ratios())
 
 
 @query("variance_summary")
 def _(t):
-    return em.variance_summary(em.model_ratios(_pca(t)[0], t.spark))
+    return em.variance_summary(_pca(t).ratios())
 
 
 @query("top_loadings")
 def _(t):
-    model, _, genes = _pca(t)
-    return em.top_loadings(model, genes, t.spark)
+    return _pca(t).top_loadings()
 
 
 @query("subset_cluster", with_sql(EXPR, CELLS) + "SELECT cell_id, gene_id, count FROM expr WHERE cell_id IN (SELECT cell_id FROM cells WHERE cluster IN ('BUILDING', 'MACHINERY'))")
@@ -264,7 +308,7 @@ def _(t):
     from cellsift.session import durable
 
     scores = durable(rf.preference_scores(rf.gene_score(norm(t), cells(t), _sets(t))))
-    pts = durable(em.pca(em.sparse_scaled(norm(t), n_cells(t)), 5)[1])
+    pts = durable(principal_components(em.sparse_scaled(norm(t), n_cells(t)), 5).scores)
     graph = nb.knn_graph(nb.knn_join(pts, 10)).withColumnsRenamed({"src": "src", "dst": "dst"})
     sizes = cells(t).groupBy("cluster").agg(F.count("*").alias("n_cells")).withColumns({"status": F.lit("has_candidates"), "selected": F.col("cluster") != "BUILDING"})
     return rf.candidate_autocorr(scores, graph, sizes)

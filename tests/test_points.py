@@ -3,11 +3,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellsift.operators import ann
 from cellsift.operators import bootstrap as bs
 from cellsift.operators import embedding as em
 from cellsift.operators import hot
 from cellsift.operators import neighbors as nb
 from cellsift.operators import refine as rf
+from cellsift.operators.components import principal_components
 from cellsift.plans import catalog
 
 
@@ -81,11 +83,11 @@ def test_pca_finds_the_main_direction(spark):
     x = np.abs(np.column_stack([t + 5, t + 5 + rng.normal(0, 0.1, 300), rng.normal(3, 0.2, 300)]))
     i, j = np.indices(x.shape)
     df = spark.createDataFrame(pd.DataFrame({"cell_id": i.ravel(), "gene_id": [f"g{v}" for v in j.ravel()], "norm": x.ravel()}))
-    model, pts, genes = em.pca(em.sparse_scaled(df, 300), 3)
+    found = principal_components(em.sparse_scaled(df, 300), 3)
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     want = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
-    assert model.explainedVariance.toArray() == pytest.approx(want / want.sum(), rel=1e-6)
-    assert pts.count() == 300 and em.top_loadings(model, genes, spark).where("pc = 1 AND rank <= 2").select("gene_id").distinct().count() == 2
+    assert [r["ratio"] for r in found.ratios().orderBy("pc").collect()] == pytest.approx(want / want.sum(), rel=1e-6)
+    assert found.scores.count() == 300 and {r["gene_id"] for r in found.top_loadings().where("pc = 1 AND rank <= 2").collect()} == {"g0", "g1"}
     ratios = spark.createDataFrame([(1, 0.5), (2, 0.3), (3, 0.15), (4, 0.05)], "pc int, ratio double")
     assert tuple(em.variance_summary(ratios).first()) == (1, 2, 3, 2)
 
@@ -180,3 +182,80 @@ def test_hot_join(spark, monkeypatch):
     assert got == sorted([(k, v, table[k]) for k, v in rows if k in table], key=repr)
     plan = hot.hot_join(left, right, ["k"])._jdf.queryExecution().toString()
     assert "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("fitted,leaf", [(16_384, 64), (64, 40)])
+def test_approximate_neighbors(spark, monkeypatch, fitted, leaf):
+    """Recall against all distances, also where leaves must be cut further; copies, nulls."""
+    monkeypatch.setattr(ann, "FITTED", fitted)
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(c, 1.0, (300, 8)) for c in (0, 4, 9)])
+    x[100:160] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 8), (9_999, None)]
+    got = ann.knn_approx(spark.createDataFrame(rows, "id long, x array<double>"), 5, leaf=leaf).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(got.dist, d[got.id, got.nbr], atol=1e-9) and (got.groupby("id").size() == 5).all()
+    # By distance, since copies tie.
+    kth = np.sort(d, axis=1)[:, 4]
+    assert (got.dist <= kth[got.id] + 1e-9).mean() > 0.9 and got.id.nunique() == 900
+
+
+def test_approximate_neighbors_of_few(spark):
+    none = spark.createDataFrame([], "id long, x array<double>")
+    assert ann.knn_approx(none).collect() == []
+    two = spark.createDataFrame([("a", [0.0]), ("b", [3.0])], "id string, x array<double>")
+    assert sorted(map(tuple, ann.knn_approx(two, 4).collect())) == [("a", "b", 3.0, 1), ("b", "a", 3.0, 1)]
+
+
+def sparse_rows(seed, cells, features, per_cell, groups):
+    """A matrix whose cells favour the features of their group; feature 0 is in every cell."""
+    rng, rows = np.random.default_rng(seed), {}
+    for c in range(cells):
+        rows[c, 0] = rng.normal(2, 1)
+        for f in rng.integers(1, features, per_cell):
+            rows[c, int(f)] = rng.normal(0, 0.3)
+        for f in range(1 + 10 * (c % groups), 11 + 10 * (c % groups)):
+            rows[c, f] = rng.normal(4.0 + c % groups, 0.5)
+    return [(c, f"f{f}", float(v)) for (c, f), v in rows.items()]
+
+
+def test_components_equal_eigenvectors(spark, monkeypatch):
+    monkeypatch.setattr(hot, "LEAST", 50)
+    rows = sparse_rows(2, 250, 400, 12, 4)
+    found = principal_components(spark.createDataFrame(rows, "c int, f string, v double").repartition(6), 4, "c", "f", "v")
+    a = np.zeros((250, 400))
+    for c, f, v in rows:
+        a[c, int(f[1:])] = v
+    values, vectors = np.linalg.eigh(np.cov(a.T))
+    assert found.variances[:3] == pytest.approx(values[::-1][:3], rel=1e-4) and found.total_variance == pytest.approx(values.sum())
+    w = np.zeros((400, 4))
+    for r in found.loadings.collect():
+        w[int(r["f"][1:])] = r["w"]
+    assert np.allclose(np.abs((w[:, :3] * vectors[:, ::-1][:, :3]).sum(0)), 1, atol=1e-3)
+    assert (w[np.abs(w).argmax(0), np.arange(4)] > 0).all()
+    x = {r["id"]: r["x"] for r in found.scores.collect()}
+    assert np.allclose([x[c] for c in range(250)], a @ w, atol=1e-8)
+
+
+def test_components_of_many_features(spark):
+    """200,000 features: loadings orthonormal, scores with the stated variances, no feature list."""
+    rows = sparse_rows(3, 1_500, 200_000, 140, 5)
+    assert len({f for _, f, _ in rows}) > 120_000
+    found = principal_components(spark.createDataFrame(pd.DataFrame(rows, columns=["c", "f", "v"])), 4, "c", "f", "v", rounds=2)
+    w = np.array([r["w"] for r in found.loadings.select("w").collect()])
+    assert np.allclose(w.T @ w, np.eye(4), atol=1e-8)
+    x = np.array([r["x"] for r in found.scores.select("x").collect()])
+    assert np.allclose(np.cov(x.T), np.diag(found.variances), rtol=1e-4, atol=1e-4 * found.variances[0])
+    top = {r["f"] for r in found.loadings.select("f", F.abs(F.get("w", F.lit(0))).alias("a")).orderBy(F.desc("a")).limit(5).collect()}
+    assert top <= {f"f{i}" for i in range(1, 51)}
+
+
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([], "cell_id int, gene_id string, scaled_raw double")
+    found = principal_components(none)
+    assert found.variances == [] and found.scores.collect() == [] and found.loadings.collect() == []
+    one = principal_components(spark.createDataFrame([(1, "a", 2.0), (1, None, 1.0), (None, "a", 1.0), (2, "a", None)], none.schema))
+    assert one.variances == [] and [tuple(r) for r in one.scores.collect()] == [(1, [])]
+    same = principal_components(spark.createDataFrame([(1, "a", 2.0), (2, "a", 4.0)], none.schema))
+    assert same.variances == pytest.approx([2.0]) and sorted(r["x"][0] for r in same.scores.collect()) == pytest.approx([2.0, 4.0])
