@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cellsift.functions.fixed import BLAST_SPECIES, SPECIES_ALIAS
 from cellsift.functions.scalars import col, fold
+from cellsift.operators.hot import hot_join
 from cellsift.operators.running import running
 from cellsift.session import durable
 
+#: Characters of the runs by which names and labels meet.
+GRAM = 3
 HIT_COLUMNS = ["cell_type", "organ", "ontology_id", "species_type", "ontology_type", "confidence", "source"]
 
 
@@ -123,34 +126,43 @@ def ancestors(names: DataFrame, relation: DataFrame, max_hops: int | None = None
     return found
 
 
-def match_names(labels: DataFrame, names: DataFrame, limit: int | None = None, label: str = "label", name: str = "name") -> DataFrame:
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct runs of characters of the given sizes."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+    runs = lambda q: F.when(F.size(chars) >= q, F.transform(
+        F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, q), ""))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, runs)))
+
+
+def match_candidates(labels: DataFrame, names: DataFrame, label: str = "label", name: str = "name") -> DataFrame:
+    """(label, _key, name): names that hold the rarest run of three characters of a label, which few other names do.
+
+    A shorter label is a run itself. Names are cut once per length of runs, at most three times their text; a run that is in
+    most names meets its labels in a broadcast.
+    """
+    wanted = durable(labels.select(F.col(label).alias("label"), fold(label).alias("_key")).where("_key <> ''").distinct())
+    short = names.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct()
+    sizes = wanted.select(F.collect_set(F.least(F.length("_key"), F.lit(GRAM)))).scalar()
+    cut = durable(short.withColumn("_sizes", sizes).select("name", F.explode(_grams(F.lower("name"), F.col("_sizes"))).alias("_gram")))
+    own = durable(wanted.select("label", "_key", F.explode(_grams(F.col("_key"), F.array(F.least(F.length("_key"), F.lit(GRAM))))).alias("_gram")))
+    counted = hot_join(own, cut.groupBy("_gram").agg(F.count("*").alias("_n")), ["_gram"])
+    rarest = counted.groupBy("label", "_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+    by_gram = durable(rarest.where("_r.n > 0").groupBy(F.col("_r._gram").alias("_gram")).agg(F.collect_list(F.struct("label", "_key")).alias("_l")))
+    return hot_join(cut, by_gram, ["_gram"], "inner").select("name", F.explode("_l").alias("_l")).select("_l.label", "_l._key", "name")
+
+
+def match_names(
+    labels: DataFrame, names: DataFrame, limit: int | None = None, label: str = "label", name: str = "name", seen: Observation | None = None,
+) -> DataFrame:
     """Names that equal the label, or contain it, ignoring case; all, or up to ``limit`` per label.
 
-    Containment becomes an equality: each name is cut into its substrings of the
-    lengths that labels have, and these are joined to the labels.
+    Candidates share the label's rarest run of characters and are then checked as a whole; ``seen`` takes the number
+    of candidates as ``rows``.
     """
-    wanted = labels.select(F.col(label).alias("label"), fold(label).alias("_key")).where("_key <> ''").distinct()
-    lengths = wanted.select(F.collect_set(F.length("_key"))).scalar()
-    short = names.select(F.col(name).alias("name")).distinct().withColumn("_low", F.lower("name"))
-    cuts = (
-        short.withColumn("_lens", lengths)
-        .select("name", "_low", F.explode("_lens").alias("_len"))
-        .where(F.col("_len") <= F.length("_low"))
-        .select(
-            "name",
-            "_low",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("_low") - F.col("_len") + 1),
-                        lambda i: F.substring(F.col("_low"), i, F.col("_len")),
-                    )
-                )
-            ).alias("_key"),
-        )
-    )
-    met = wanted.join(cuts, "_key").select(
-        "label", "name", F.when(F.trim("_low") == F.col("_key"), "casefold").otherwise("contains").alias("match"))
+    met = match_candidates(labels, names, label, name)
+    met = met if seen is None else met.observe(seen, F.count(F.lit(1)).alias("rows"))
+    met = met.where(F.contains(F.lower("name"), F.col("_key"))).select(
+        "label", "name", F.when(F.trim(F.lower("name")) == F.col("_key"), "casefold").otherwise("contains").alias("match"))
     if limit is None:
         # A label that is in most names has a row for each; their order spans many tasks.
         return running(met.withColumn("_one", F.lit(1)), ["label"], ["match", "name"], {"position": ("sum", "_one")}).select(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cellsift.functions.fixed import HIERARCHY_WEIGHT
 from cellsift.operators.evaluate import f1, first_entries, weight
@@ -60,19 +61,44 @@ def threshold_grid(spark: SparkSession, grid: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "grid_id int, " + ", ".join(f"{k} double" for k in grid))
 
 
-def grid_join(features: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every combination with every cluster: the grid rides along as one array and is exploded."""
-    combos = grid.select(F.collect_list(F.struct(*grid.columns))).scalar()
-    return features.withColumn("_grid", combos).select(*features.columns, F.explode("_grid").alias("_t")).select(
-        *features.columns, "_t.*")
+def _corner(value: Column, levels: Column, passed) -> Column:
+    """How many levels of an axis a value has passed: the corner of its box."""
+    return F.size(F.filter(levels, lambda level: passed(value, level)))
+
+
+def low_counts(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """(grid_id, n_low): rows of low confidence under each combination, by a summed-area table.
+
+    A row is not low where its outside share is at most ``pct2_high`` and its ratio at least ``ratio_medium``: a box of
+    the grid. Boxes are counted at their corners, the corners are summed along both axes, and each combination reads its
+    cell. The tables have at most (levels + 1) squared rows; no row meets the grid.
+    """
+    axes = {c: grid.select(F.array_sort(F.collect_set(c))).scalar() for c in ("pct2_high", "ratio_medium")}
+    placed = rows.withColumns({f"_{c}": axis for c, axis in axes.items()}).select(
+        _corner(F.col("max_top_pct2"), F.col("_pct2_high"), lambda v, level: v > level).alias("_p"),
+        _corner(F.col("count_ratio"), F.col("_ratio_medium"), lambda v, level: v >= level).alias("_m"))
+    corners = placed.groupBy("_p", "_m").agg(F.count("*").alias("_n"))
+    cell = grid.withColumns({f"_{c}": axis for c, axis in axes.items()}).select(
+        "grid_id", F.array_position("_pct2_high", F.col("pct2_high")).alias("_i"), F.array_position("_ratio_medium", F.col("ratio_medium")).alias("_j"))
+    spread = cell.select((F.col("_i") - 1).alias("_p"), F.col("_j").alias("_m"), F.lit(0).alias("_n")).distinct().unionByName(corners)
+    table = spread.groupBy("_p", "_m").agg(F.sum("_n").alias("_n"))
+    # The number of levels bounds the table and the windows.
+    along = W.partitionBy("_m").orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+    every = spread.select("_p").distinct().withColumn("_ms", spread.select(F.collect_set("_m")).scalar()).select("_p", F.explode("_ms").alias("_m"))
+    full = every.join(table, ["_p", "_m"], "left").fillna(0, ["_n"])
+    summed = full.withColumn("_n", F.sum("_n").over(along))
+    across = W.partitionBy("_p").orderBy(F.desc("_m")).rowsBetween(W.unboundedPreceding, 0)
+    summed = summed.withColumn("_n", F.sum("_n").over(across))
+    total = rows.select(F.count("*")).scalar()
+    return cell.join(summed, (F.col("_i") - 1 == F.col("_p")) & (F.col("_j") == F.col("_m"))).select("grid_id", (total - F.col("_n")).alias("n_low"))
 
 
 def threshold_search(features: DataFrame, tops: DataFrame, entries: DataFrame, grid: DataFrame, k: int | None = None) -> DataFrame:
     """Cluster-level strict, relaxed, macro F1 and low-confidence count of every combination.
 
-    ``tops`` is (cluster, true); combinations are ordered by strict, then relaxed.
+    ``tops`` is (cluster, true); combinations are ordered by strict, then relaxed. The thresholds decide confidence only,
+    so the scores are worked out once and the low ones are counted by ``low_counts``.
     """
-    # One row per cluster, read by three aggregates over the grid.
     base = durable(
         features.where("first_type IS NOT NULL")
         .join(tops.select("cluster", "true"), "cluster")
@@ -80,23 +106,19 @@ def threshold_search(features: DataFrame, tops: DataFrame, entries: DataFrame, g
         .withColumn("relation", F.coalesce("relation", F.lit("unmatched")))
         .withColumn("w", weight(HIERARCHY_WEIGHT, "relation"))
     )
-    rows = rule_predict(grid_join(base, grid))
-    totals = rows.groupBy("grid_id").agg(
-        F.avg(F.col("relation").isin("exact", "synonym").cast("int")).alias("strict"),
-        F.avg("w").alias("relaxed"),
-        F.count("*").alias("n_clusters"),
-        F.count_if(F.col("confidence") == "low").alias("n_low"),
-    )
+    totals = base.agg(
+        F.avg(F.col("relation").isin("exact", "synonym").cast("int")).alias("strict"), F.avg("w").alias("relaxed"), F.count("*").alias("n_clusters"))
     right = (F.col("w") > 0) & (F.col("mapped") == F.col("true"))
     wrong = (F.col("w") > 0) & (F.col("mapped") != F.col("true"))
-    own = rows.groupBy("grid_id", F.col("true").alias("type")).agg(
+    own = base.groupBy(F.col("true").alias("type")).agg(
         F.sum(F.when(right, F.col("w")).otherwise(0.0)).alias("tp"),
         F.sum(F.when(wrong, F.col("w")).when(~right, 1.0).otherwise(0.0)).alias("fn"),
     )
-    lost = rows.where(wrong).groupBy("grid_id", F.col("mapped").alias("type")).agg(F.sum("w").alias("fp"))
-    macro = f1(own.join(lost, ["grid_id", "type"], "full_outer").fillna(0.0, ["tp", "fn", "fp"])).groupBy("grid_id").agg(
-        F.avg("f1").alias("macro_f1"))
-    out = grid.join(totals, "grid_id").join(macro, "grid_id")
+    lost = base.where(wrong).groupBy(F.col("mapped").alias("type")).agg(F.sum("w").alias("fp"))
+    macro = f1(own.join(lost, "type", "full_outer").fillna(0.0, ["tp", "fn", "fp"])).agg(F.avg("f1").alias("macro_f1"))
+    # One row of scores rides along with the grid; without clusters there is no combination.
+    scores = totals.withColumn("macro_f1", macro.scalar()).where("n_clusters > 0").select(F.struct("strict", "relaxed", "n_clusters", "macro_f1")).scalar()
+    out = grid.join(low_counts(base, grid), "grid_id").withColumn("_s", scores).where("_s IS NOT NULL").select(*grid.columns, "_s.*", "n_low")
     return out.orderBy(F.col("strict").desc(), F.col("relaxed").desc(), "grid_id").limit(k) if k else out
 
 

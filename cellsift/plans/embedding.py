@@ -343,7 +343,7 @@ def _(t):
 
 
 SUBCG = """sg AS (SELECT parent, cluster, gene, position FROM (SELECT cluster AS parent, region AS cluster, gene_id AS gene, row_number() OVER (PARTITION BY cluster, region ORDER BY sum(count) DESC, gene_id) AS position
-    FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2, 3) WHERE position <= 5),
+    FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2, 3)),
   sp AS (SELECT parent, cluster, cell_type, count(DISTINCT gene) AS k, sum(confidence) / count(*) AS conf, bool_or(m) AS y, bool_or(NOT m) AS n FROM sg JOIN (SELECT *, CASE WHEN organ <> 'Unknown' THEN list_contains(string_split(organ, '|'), 'ASIA') END AS m FROM hits) USING (gene) GROUP BY 1, 2, 3),
   sr AS (SELECT *, row_number() OVER (PARTITION BY parent, cluster ORDER BY CASE WHEN y AND NOT coalesce(n, false) THEN 0 WHEN y AND n THEN 1 WHEN n THEN 3 ELSE 2 END, k DESC, round(conf, 12) DESC, cell_type) AS rank FROM sp),
   sf AS (SELECT parent, cluster, max(CASE WHEN rank = 1 THEN cell_type END) AS first_type, max(CASE WHEN rank = 2 THEN cell_type END) AS second_type, max(CASE WHEN rank = 1 THEN k END) AS first_count, coalesce(max(CASE WHEN rank = 2 THEN k END), 0) AS second_count, count(*) AS n_candidates FROM sr GROUP BY 1, 2)"""
@@ -355,7 +355,7 @@ def _sub_first(t):
 
     sums = matrix(t).join(cells(t), "cell_id").groupBy(F.col("cluster").alias("parent"), F.col("region").alias("cluster"), F.col("gene_id").alias("gene")).agg(F.sum("count").alias("s"))
     w = W.partitionBy("parent", "cluster").orderBy(F.col("s").desc(), "gene")
-    genes = sums.withColumn("position", F.row_number().over(w)).where("position <= 5").drop("s")
+    genes = sums.withColumn("position", F.row_number().over(w)).drop("s")
     return rf.first_second(cd.rank_candidates(genes, hits(t), "Asia", by=("parent", "cluster")))
 
 

@@ -252,7 +252,8 @@ FEATURES = with_sql(EXPR, CELLS, ROWS, ORTH, CG, HITS, RANKED, GAP, NORM, STATS,
 
 def features(t):
     wanted = cluster_genes(t).where("position <= 3").withColumnRenamed("gene", "gene_id")
-    top = pct_in_out(gene_cluster_stats(norm(t), cells(t)).join(wanted, ["cluster", "gene_id"]))
+    asked = norm(t).join(wanted.select("gene_id").distinct(), "gene_id", "left_semi")
+    top = pct_in_out(gene_cluster_stats(asked, cells(t)).join(wanted, ["cluster", "gene_id"]))
     return th.cluster_features(gaps(t), top)
 
 
@@ -288,14 +289,24 @@ GRIDSQL = """tg AS (SELECT (row_number() OVER (ORDER BY d, r, p, m) - 1)::INT AS
     FROM go FULL JOIN gl USING (grid_id, type)) GROUP BY 1)"""
 
 
+def _truth(t):
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("cluster"), F.initcap("n_name").alias("true_type"))
+    return ev.cluster_top_true(named.drop("cluster"), named.drop("true_type"))
+
+
 @query("threshold_search", with_sql(EXPR, CELLS, ROWS, ORTH, CG, HITS, RANKED, GAP, NORM, STATS, FEAT, SEG, ENTRIES, GRIDSQL) + """
   SELECT grid_id, diff_decisive, ratio_tied, pct2_high, ratio_medium, round(avg((rel IN ('exact', 'synonym'))::INT), 6) AS strict, round(avg(w), 6) AS relaxed,
     count(*) AS n_clusters, count(*) FILTER (confidence = 'low') AS n_low, round(any_value(macro_f1), 6) AS macro_f1 FROM gx JOIN gf USING (grid_id) GROUP BY 1, 2, 3, 4, 5""")
 def _(t):
-    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("cluster"), F.initcap("n_name").alias("true_type"))
-    tops = ev.cluster_top_true(named.drop("cluster"), named.drop("true_type"))
-    return rounded(th.threshold_search(features(t), tops, _entries(t), th.threshold_grid(t.spark)))
+    return rounded(th.threshold_search(features(t), _truth(t), _entries(t), th.threshold_grid(t.spark)))
+
+
+@query("threshold_baseline", with_sql(EXPR, CELLS, ROWS, ORTH, CG, HITS, RANKED, GAP, NORM, STATS, FEAT, SEG, ENTRIES, GRIDSQL) + """
+  SELECT round(avg((rel IN ('exact', 'synonym'))::INT), 6) AS strict, round(avg(w), 6) AS relaxed, round(any_value(macro_f1), 6) AS macro_f1, count(*) AS n_clusters, 0 AS n_low
+    FROM gx JOIN gf USING (grid_id) WHERE grid_id = 0""")
+def _(t):
+    return rounded(th.baseline(features(t), _truth(t), _entries(t)))
 
 
 @query("draft_pins", """WITH lab AS (SELECT DISTINCT label FROM (SELECT lower(r_name) AS label FROM region UNION ALL SELECT substr(n_name, 1, 7) FROM nation UNION ALL SELECT 'Unknown' FROM region)),

@@ -95,7 +95,7 @@ ORTH = """orth AS (SELECT DISTINCT p_brand AS gene, lower(r_name) AS ref_species
 # Marker list of a cluster: its eight brands with most quantity.
 CG = """cg AS (SELECT cluster, gene, position FROM (SELECT cluster, gene_id AS gene,
   row_number() OVER (PARTITION BY cluster ORDER BY sum(count) DESC, gene_id) AS position
-  FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2) WHERE position <= 8)"""
+  FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2))"""
 HITS = """hits AS (SELECT gene, cell_type, organ, ontology_id, species_type, ontology_type, coalesce(confidence, 1) AS confidence, source,
     'direct' AS source_path, NULL AS ref_gene, NULL AS ref_species FROM rws WHERE species = 'asia'
   UNION ALL SELECT o.gene, cell_type, organ, ontology_id, species_type, ontology_type, coalesce(confidence, 1), source, 'ortholog', o.ref_gene, o.ref_species
@@ -165,7 +165,7 @@ def cluster_genes(t: Tables) -> DataFrame:
     sums = matrix(t).join(cells(t), "cell_id").groupBy("cluster", F.col("gene_id").alias("gene")).agg(
         F.sum("count").alias("s"))
     w = W.partitionBy("cluster").orderBy(F.col("s").desc(), "gene")
-    return sums.select("cluster", "gene", F.row_number().over(w).alias("position")).where("position <= 8")
+    return sums.select("cluster", "gene", F.row_number().over(w).alias("position"))
 
 
 def hits(t: Tables) -> DataFrame:

@@ -189,3 +189,38 @@ def test_chi2_two_by_two_uses_yates(spark):
     assert got["yates"] and got["chi2"] == pytest.approx(want) and 0 < got["p"] < 1
     one = ov.contingency_chi2(spark.createDataFrame([("x", "p")], "cluster string, batch string")).first()
     assert one["chi2"] is None and one["p"] is None
+
+
+def test_match_names_equals_search(spark, monkeypatch):
+    """Short and long labels, copies, other scripts, a run that most names hold; candidates stay near the matches."""
+    import random
+
+    from pyspark.sql import Observation
+
+    from cellsift.operators import hot
+
+    monkeypatch.setattr(hot, "LEAST", 10)
+    rng = random.Random(2)
+    some = lambda k: "".join(rng.choice("abAé日😀 .-") for _ in range(k))
+    names = [some(rng.randint(0, 30)) for _ in range(300)] + ["root cap cell", "Root Cap", "cap"] + [f"common {i} end" for i in range(60)] + [None, ""]
+    labels = [some(rng.randint(1, 4)) for _ in range(60)] + [" root CAP ", "cap", "mmo", "common", "c", "nowhere at all", "", None, "  "]
+    seen = Observation("candidates")
+    got = kg.match_names(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(x,) for x in names], "name string"), seen=seen).collect()
+    want = {(a, b) for a in set(labels) if a and a.strip() for b in set(names) if b is not None and a.strip().lower() in b.lower()}
+    assert {(r["label"], r["name"]) for r in got} == want and len(got) == len(want)
+    assert len(want) <= seen.get["rows"] <= 3 * len(want)
+
+
+def test_low_counts_equal_the_rule(spark):
+    import random
+
+    from cellsift.operators import thresholds as th
+
+    rng = random.Random(6)
+    rows = [(rng.choice([0.0, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, rng.random()]), rng.choice([0.0, 1.0, 1.01, 1.1, 2.0, 3.0, 1 + rng.random()])) for _ in range(200)]
+    grid = th.threshold_grid(spark)
+    got = {r["grid_id"]: r["n_low"] for r in th.low_counts(spark.createDataFrame(rows, "max_top_pct2 double, count_ratio double"), grid).collect()}
+    for r in grid.collect():
+        assert got[r["grid_id"]] == sum(p > r["pct2_high"] or m < r["ratio_medium"] for p, m in rows)
+    none = th.low_counts(spark.createDataFrame([], "max_top_pct2 double, count_ratio double"), grid)
+    assert none.where("n_low = 0").count() == grid.count()
