@@ -118,7 +118,8 @@ def principal_components(
 ) -> Components:
     """Components of the covariance of a sparse matrix (cell, feature, value); cells are those with a value.
 
-    The matrix meets k + ``extra`` normal directions, which are turned to the widest ones by ``rounds`` of power iteration;
+    The matrix meets k + ``extra`` normal directions, which are turned to the widest ones by ``rounds`` of power iteration (few features or
+    cells need none);
     means are taken off the products, so the matrix stays sparse and any number of features will do. Tall tables are
     made orthonormal by a tall-skinny QR. The driver holds matrices of k + ``extra`` columns and rows only. Scores are rows
     times loadings, means left in. The largest loading of a component is positive (the first feature by name on ties).
@@ -133,7 +134,9 @@ def principal_components(
     means = durable(held.groupBy("_f").agg((F.sum("_v") / n).alias("_m"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))) if n else held.select("_f", F.col("_v").alias("_m"), F.col("_v").alias("_q"))
     m, squares, centre = means.agg(F.count("*"), F.sum("_q"), F.sum(F.col("_m") * F.col("_m"))).first()
     total = max(float(((squares or 0.0) - n * (centre or 0.0)) / (n - 1)), 0.0) if n > 1 else 0.0
-    width = min(k + extra, m, n)
+    # As many directions as features or cells find all components at once.
+    width = min(m, n) if min(m, n) <= 4 * (k + extra) else k + extra
+    rounds = 0 if width == min(m, n) else rounds
 
     def empty() -> Components:
         none = held.select(F.col("_c").alias("id"), F.array().cast("array<double>").alias("x")).distinct()

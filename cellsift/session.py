@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,19 @@ def durable(df: DataFrame) -> DataFrame:
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name inside the shared checkpoint folder."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def with_files(spark: SparkSession, fn: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``fn`` makes of a folder that it may write to; the result is stored and the folder goes."""
+    folder = shared_folder(spark)
+    try:
+        return durable(fn(folder))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -198,25 +198,41 @@ def parse_homology_json(bodies: DataFrame, ref_species: str | None = None, colum
             lambda k, v: v.isNotNull()).alias("raw"))
 
 
-_MAP = "map<string,array<struct<ref_species:string,ref_gene_id:string,ref_gene:string,score:double,mapping_type:string>>>"
-
-
-def load_ortholog_map(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
-    """((gene, ref_species, ref_gene, score), references, warnings); a missing file is empty with a warning."""
-    schema = f"cross_species_map {_MAP}, ortholog_map {_MAP}, reference_species array<string>, warnings array<string>"
-    empty = spark.createDataFrame([], "gene string, ref_species string, ref_gene string, score double")
+def _document(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row with the JSON document of a file as ``doc``; None where there is no file."""
     try:
-        doc = spark.read.schema(schema).option("multiLine", True).json(path)
-        head = doc.select("reference_species", "warnings").first()
+        rows = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+        return None if rows.isEmpty() else rows
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return empty, [], [f"ortholog map not readable: {path}"]
-    if head is None:
-        return empty, [], [f"ortholog map not readable: {path}"]
-    pairs = doc.select(F.explode(F.coalesce("cross_species_map", "ortholog_map")).alias("gene", "_l")).select("gene", F.explode("_l").alias("r")).select(
-        "gene", "r.ref_species", F.coalesce("r.ref_gene_id", "r.ref_gene").alias("ref_gene"), "r.score")
-    return pairs, list(head["reference_species"] or []), list(head["warnings"] or [])
+        return None
+
+
+def _entries(doc: DataFrame, *keys: str) -> DataFrame:
+    """(key, value) of the object under the first of ``keys`` that the document has; the whole document for key ``$``."""
+    inner = F.coalesce(*[F.col("doc") if k == "$" else F.try_variant_get("doc", f"$.{k}", "variant") for k in keys])
+    return doc.select(inner.alias("_in")).lateralJoin(doc.sparkSession.tvf.variant_explode(F.col("_in").outer())).select("key", "value")
+
+
+def _texts(doc: DataFrame, key: str) -> list[str]:
+    """A short list of texts under a key."""
+    return list(doc.select(F.try_variant_get("doc", f"$.{key}", "array<string>")).first()[0] or [])
+
+
+def load_ortholog_map(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
+    """((gene, ref_species, ref_gene, score), references, warnings); a missing file is empty with a warning.
+
+    The map may stand under either of two keys, and a reference gene under either of two fields.
+    """
+    doc = _document(spark, path)
+    if doc is None:
+        return spark.createDataFrame([], "gene string, ref_species string, ref_gene string, score double"), [], [f"ortholog map not readable: {path}"]
+    listed = _entries(doc, "cross_species_map", "ortholog_map").withColumnRenamed("key", "gene")
+    records = listed.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("value").alias("r")))
+    field = lambda name, kind="string": F.try_variant_get("r", f"$.{name}", kind)
+    pairs = records.select("gene", field("ref_species").alias("ref_species"), F.coalesce(field("ref_gene_id"), field("ref_gene")).alias("ref_gene"), field("score", "double").alias("score"))
+    return pairs, _texts(doc, "reference_species"), _texts(doc, "warnings")
 
 
 _ENTRY = "struct<label:string,confidence:string,status:string>"

@@ -20,6 +20,18 @@ def write_prepared(folder: str, obs: DataFrame, var: DataFrame, expr: DataFrame,
         metrics.write.mode("overwrite").json(f"{folder}/qc_metrics")
 
 
+def write_bucketed(folder: str, name: str, rows: DataFrame, key: str, buckets: int = 16) -> DataFrame:
+    """A table of the catalog, bucketed and sorted by ``key``: two of them with as many buckets join without a shuffle.
+
+    Returns the table. Its files lie in ``folder``; a table of that name is replaced.
+    """
+    spark = rows.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    # One file a bucket and task: rows are dealt by the key first.
+    rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def write_markers(folder: str, markers: DataFrame) -> None:
     """Flat CSV, and one JSON document per cluster with its kept markers.
 

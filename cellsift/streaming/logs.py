@@ -81,3 +81,57 @@ def stream_gaps(stream: DataFrame) -> DataFrame:
     """
     return stream.select("run", "seq").where("run IS NOT NULL").groupBy("run").transformWithStateInPandas(
         statefulProcessor=_Gaps(), outputStructType=GAP_SCHEMA, outputMode="Append", timeMode="None")
+
+
+MISSING_SCHEMA = T.StructType([
+    T.StructField("run", T.StringType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("event", T.StringType())])
+
+
+class _Missing(StatefulProcessor):
+    """Per run: the highest seq seen, and the ranges below it that are still missing."""
+
+    def __init__(self, keep_ms: int | None):
+        self._keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._top = handle.getValueState("top", "top long", self._keep_ms)
+        self._open = handle.getMapState("open", "first long", "last long", self._keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        top = self._top.get()[0] if self._top.exists() else 0
+        seqs = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(pdf["seq"].dropna().to_numpy(dtype=np.int64) for pdf in rows)]))
+        late, new = seqs[(seqs <= top) & (seqs > 0)], seqs[seqs > top]
+        out = []
+        if len(late) and self._open.exists():
+            for (first,), (last,) in sorted(self._open.iterator()):
+                inside = late[(late >= first) & (late <= last)]
+                if not len(inside):
+                    continue
+                self._open.removeKey((first,))
+                edges = np.concatenate([[first - 1], inside, [last + 1]])
+                for a, b in zip(edges[:-1], edges[1:]):
+                    if b - a > 1:
+                        self._open.updateValue((int(a) + 1,), (int(b) - 1,))
+                cut = np.flatnonzero(np.diff(inside) > 1)
+                out += [(int(a), int(b), "closed") for a, b in zip(inside[np.append(0, cut + 1)], inside[np.append(cut, len(inside) - 1)])]
+        if len(new):
+            before = np.append(top, new[:-1])
+            for a, b in zip(before[new - before > 1], new[new - before > 1]):
+                self._open.updateValue((int(a) + 1,), (int(b) - 1,))
+                out.append((int(a) + 1, int(b) - 1, "missing"))
+            self._top.update((int(new[-1]),))
+        yield pd.DataFrame({"run": [key[0]] * len(out), "first": [o[0] for o in out], "last": [o[1] for o in out], "event": [o[2] for o in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_missing(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """(run, first, last, event): ranges of seqs that are missing, and those of them that late records close.
+
+    Seqs count from 1, in any order of arrival; repeated ones report nothing. What is missing and not closed lacks in the
+    log. The state is one number per run and one entry per open range; with ``keep_ms`` a run's state goes when it was
+    not touched for that long. Needs the RocksDB state store.
+    """
+    return stream.select("run", "seq").where("run IS NOT NULL").groupBy("run").transformWithStateInPandas(
+        statefulProcessor=_Missing(keep_ms), outputStructType=MISSING_SCHEMA, outputMode="Append", timeMode="None" if keep_ms is None else "ProcessingTime")
