@@ -94,28 +94,6 @@ def chi2_1_from_p(p: float) -> float:
     return NormalDist().inv_cdf(p / 2.0) ** 2
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_two_sided(z: pd.Series) -> pd.Series:
-    return _each(lambda x: math.erfc(abs(x) / math.sqrt(2.0)), z)
-
-
-def erf(x: np.ndarray) -> np.ndarray:
-    """Error function of every element: the series with positive terms up to 6, beyond that it is 1 to double precision."""
-    a = np.minimum(np.abs(x), 6.0)
-    term = a * (2.0 / math.sqrt(math.pi)) * np.exp(-a * a)
-    total, k = term.copy(), 0
-    while np.any(term > 1e-17):
-        k += 1
-        term = term * (2.0 * a * a / (2 * k + 1))
-        total += term
-    return np.sign(x) * np.where(np.isnan(x), np.nan, np.minimum(total, 1.0))
-
-
-@F.pandas_udf(T.DoubleType())
-def _normal_cdf(z: pd.Series) -> pd.Series:
-    return pd.Series(0.5 * (1.0 + erf(z.to_numpy(dtype=float) / math.sqrt(2.0))))
-
-
 @F.pandas_udf(T.DoubleType())
 def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
@@ -131,12 +109,29 @@ def _chi2_1_upper(p: pd.Series) -> pd.Series:
     return _each(lambda v: chi2_1_from_p(v) if 0.0 < v < 1.0 else np.nan, p)
 
 
+def _erfc(x: Column) -> Column:
+    """Complement of the error function of x >= 0: the series with positive terms below 2.5, the continued fraction above."""
+    y = 2.0 * x * x
+    series = F.aggregate(F.sequence(F.lit(90), F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, k: 1.0 + y / (2.0 * k + 1.0) * s)
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), x, lambda f, k: x + k / 2.0 / f)
+    bell = F.exp(-x * x)
+    return F.when(x < 2.5, 1.0 - 2.0 / math.sqrt(math.pi) * x * bell * series).otherwise(bell / math.sqrt(math.pi) / fraction)
+
+
+def _column(z: str | Column) -> Column:
+    return (F.col(z) if isinstance(z, str) else z).cast("double")
+
+
 def normal_two_sided(z: str | Column) -> Column:
-    return _normal_two_sided(z)
+    """Share of a normal distribution that lies further out than z, on both sides; columns only."""
+    return _erfc(F.abs(_column(z)) / math.sqrt(2.0))
 
 
 def normal_cdf(z: str | Column) -> Column:
-    return _normal_cdf(z)
+    """Share of a normal distribution below z; columns only."""
+    x = _column(z)
+    tail = _erfc(F.abs(x) / math.sqrt(2.0)) / 2.0
+    return F.when(x < 0, tail).otherwise(1.0 - tail)
 
 
 def t_tail(t: str | Column, df: str | Column) -> Column:

@@ -8,44 +8,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-# The eight cases: id, kind, labels to draw two clusters from, clusters kept, trap, expected.
+# The eight cases: id, kind, labels to draw two clusters from, clusters kept, trap, expected, label of the merge.
 CASES = [
-    ("S-P1", "positive_unrelated", ["Xylem", "Root hair"], 2, "none", "ambiguous_true → route step5 → refine_effective"),
-    ("S-P2", "positive_unrelated", ["Phloem", "Root endodermis"], 2, "none", "ambiguous_true → refine_effective"),
-    ("S-P3", "positive_rare", ["Meristematic cell", "Stem cell niche"], 2, "trap3_small_sample", "ambiguous_true but check count_diff"),
-    ("S-N1", "negative_same_type", ["Pericycle"], 2, "counter_example", "first_decisive, no refine"),
-    ("S-N2", "negative_parent_child", ["Columella root cap", "Lateral root cap"], 2, "trap2_hierarchy", "ambiguous_parent_child, pick more specific, no step5"),
-    ("S-N3", "negative_same_type", ["Root cortex"], 2, "trap6_single_batch", "no batch_effect, no refine, first_decisive"),
-    ("S-H1", "positive_mid_difficulty", ["Root cortex", "Root hair"], 2, "none", "ambiguous_true → step5"),
-    ("S-H2", "positive_superfusion", ["Root endodermis", "Root cortex", "Pericycle"], 3, "none", "ambiguous_true → step5, n_subclusters ≥ 2 expected"),
+    ("S-P1", "positive_unrelated", ["Xylem", "Root hair"], 2, "none", "ambiguous_true → route step5 → refine_effective", "xylem|root_hair"),
+    ("S-P2", "positive_unrelated", ["Phloem", "Root endodermis"], 2, "none", "ambiguous_true → refine_effective", "phloem|root_endodermis"),
+    ("S-P3", "positive_rare", ["Meristematic cell", "Stem cell niche"], 2, "trap3_small_sample", "ambiguous_true but check count_diff", "meristematic|stem_cell_niche"),
+    ("S-N1", "negative_same_type", ["Pericycle"], 2, "counter_example", "first_decisive, no refine", "pericycle|pericycle"),
+    ("S-N2", "negative_parent_child", ["Columella root cap", "Lateral root cap"], 2, "trap2_hierarchy", "ambiguous_parent_child, pick more specific, no step5", "columella|lateral_root_cap"),
+    ("S-N3", "negative_same_type", ["Root cortex"], 2, "trap6_single_batch", "no batch_effect, no refine, first_decisive", "root_cortex|root_cortex"),
+    ("S-H1", "positive_mid_difficulty", ["Root cortex", "Root hair"], 2, "none", "ambiguous_true → step5", "root_cortex|root_hair"),
+    ("S-H2", "positive_superfusion", ["Root endodermis", "Root cortex", "Pericycle"], 3, "none", "ambiguous_true → step5, n_subclusters ≥ 2 expected", "endodermis|cortex|pericycle"),
 ]
 HITS_NEEDED, HITS_OF, HITS_LEAST = 6, 8, 3
 
 
 def build_scenarios(pure: DataFrame, cases: Sequence[tuple] = CASES) -> DataFrame:
-    """(case_id, kind, trap, expected_text, clusters, available).
+    """(case_id, kind, trap, expected_text, merge_label, clusters, available).
 
     The j-th case that asks for a label gets that label's clusters 2j-1 and 2j, if
     it has that many; so no cluster is used twice and no loop is needed.
     """
     asked: dict[str, int] = {}
     wants = []
-    for order, (cid, kind, labels, keep, trap, text) in enumerate(cases):
+    for order, (cid, kind, labels, keep, trap, text, merged) in enumerate(cases):
         for part, label in enumerate(labels):
             asked[label] = asked.get(label, 0) + 1
-            wants.append((order, cid, kind, keep, trap, text, part, label, asked[label]))
+            wants.append((order, cid, kind, keep, trap, text, merged, part, label, asked[label]))
     want = pure.sparkSession.createDataFrame(
-        wants, "ord int, case_id string, kind string, keep int, trap string, expected_text string, part int, true string, turn int")
+        wants, "ord int, case_id string, kind string, keep int, trap string, expected_text string, merge_label string, part int, true string, turn int")
     w = W.partitionBy("true").orderBy("cluster")
     pool = pure.withColumn("_i", F.row_number().over(w)).select(
         "true", "cluster", ((F.col("_i") - 1) / 2).cast("int").alias("_t"), "_i")
     pairs = pool.groupBy("true", "_t").agg(F.array_sort(F.collect_list("cluster")).alias("_two")).where(F.size("_two") == 2)
     return (
         want.join(pairs.select("true", (F.col("_t") + 1).alias("turn"), "_two"), ["true", "turn"], "left")
-        .groupBy("ord", "case_id", "kind", "keep", "trap", "expected_text")
+        .groupBy("ord", "case_id", "kind", "keep", "trap", "expected_text", "merge_label")
         .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "_two"))), lambda s: F.coalesce(s["_two"], F.array().cast("array<string>")))).alias("_all"))
         .select(
-            "case_id", "kind", "trap", "expected_text", F.expr("slice(_all, 1, keep)").alias("clusters"),
+            "case_id", "kind", "trap", "expected_text", "merge_label", F.expr("slice(_all, 1, keep)").alias("clusters"),
             (F.size("_all") >= F.col("keep")).alias("available"),
         )
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cellsift.plans import embedding, evaluation, files, knowledge, logs, quality, retrieval  # noqa: F401
+from cellsift.plans import embedding, evaluation, files, knowledge, logs, quality, retrieval, summaries  # noqa: F401
 from cellsift.plans.registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "evaluate_run"

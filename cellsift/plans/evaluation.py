@@ -184,10 +184,10 @@ FINE_OBS = """fo AS (SELECT cell_id, cluster || '.' || (cell_id // 7 % 5) AS clu
     row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, true_type) AS k FROM fo GROUP BY 1, 2),
   pc AS (SELECT cluster, "true", row_number() OVER (PARTITION BY "true" ORDER BY cluster) AS i, count(*) OVER (PARTITION BY "true") AS m FROM fc
     WHERE k = 1 AND n_cells >= 3 AND n / n_cells >= 0.6)"""
-CASES = [("A", "positive_unrelated", ["Nation_1", "Nation_2"], 2, "none", "ambiguous_true -> refine_effective"),
-         ("B", "negative_same_type", ["Nation_2"], 2, "counter_example", "first_decisive, no refine"),
-         ("C", "negative_parent_child", ["Nation_3", "Nation_1"], 2, "trap2", "ambiguous_parent_child, pick more specific"),
-         ("D", "positive_superfusion", ["Nation_4", "Nation_5", "Nation_1"], 3, "none", "ambiguous_true -> step5")]
+CASES = [("A", "positive_unrelated", ["Nation_1", "Nation_2"], 2, "none", "ambiguous_true -> refine_effective", "one|two"),
+         ("B", "negative_same_type", ["Nation_2"], 2, "counter_example", "first_decisive, no refine", "two|two"),
+         ("C", "negative_parent_child", ["Nation_3", "Nation_1"], 2, "trap2", "ambiguous_parent_child, pick more specific", "three|one"),
+         ("D", "positive_superfusion", ["Nation_4", "Nation_5", "Nation_1"], 3, "none", "ambiguous_true -> step5", "four|five|one")]
 
 
 def _scenarios(t):
@@ -207,7 +207,7 @@ SCEN = with_sql(EVAL, FINE_OBS, f"""cs AS (
   SELECT 'D', 'positive_superfusion', 'none', 3, 'ambiguous_true', {_take('Nation_4', 1)} || {_take('Nation_5', 1)} || {_take('Nation_1', 3)})""")
 
 
-@query("build_scenarios", SCEN + "SELECT case_id, kind, trap, array_to_string(c[1:keep], ',') AS clusters, len(c) >= keep AS available FROM cs")
+@query("build_scenarios", SCEN + "SELECT case_id, kind, trap, CASE case_id WHEN 'A' THEN 'one|two' WHEN 'B' THEN 'two|two' WHEN 'C' THEN 'three|one' ELSE 'four|five|one' END AS merge_label, array_to_string(c[1:keep], ',') AS clusters, len(c) >= keep AS available FROM cs")
 def _(t):
     return _scenarios(t).drop("expected_text").withColumn("clusters", F.array_join("clusters", ","))
 

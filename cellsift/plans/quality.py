@@ -309,11 +309,6 @@ def _(t):
     return rounded(_de(t).drop("pval", "pval_adj"))
 
 
-@query("rank_genes_pvalues")
-def _(t):
-    return _de(t).select("cluster", "gene_id", "pval", "pval_adj")
-
-
 @query("gene_auc", MATRIX + "SELECT cluster, gene_id, round(auc, 6) AS auc FROM sco")
 def _(t):
     return rounded(mk.gene_auc(_stats(t)).select("cluster", "gene_id", "auc"))
@@ -353,11 +348,6 @@ def _(t):
     return rounded(mk.inflation_lambda(_de(t, None)))
 
 
-@query("de_summary")
-def _(t):
-    return rounded(mk.de_summary(_de(t, None)))
-
-
 @query("pct_summary", sig(with_sql(EXPR, NORM, CELLS, DE_ALL, """lg AS (SELECT cluster || '|' || variable AS k, cluster, variable, value FROM
     (SELECT cluster, pct1, pct2, pct1 - pct2 AS pct1_minus_pct2 FROM de) UNPIVOT (value FOR variable IN (pct1, pct2, pct1_minus_pct2)))""",
   "d AS (" + describe_sql("lg", "value", "k") + ")") + """

@@ -109,11 +109,15 @@ def test_tails_against_published_values(spark):
     assert [row["z"], row["c"], row["t"]] == pytest.approx([0.05] * 3, abs=1e-6)
 
 
-def test_erf_is_exact_to_double_precision():
+def test_normal_tails_as_columns(spark):
     import math
 
-    from cellsift.functions.tails import erf
-
-    x = np.array([-40.0, -6.1, -3.2, -1.0, -1e-9, 0.0, 1e-300, 0.3, 2.5, 5.9, 6.0, 7.0])
-    assert np.allclose(erf(x), [math.erf(v) for v in x], rtol=0, atol=1e-15)
-    assert np.isnan(erf(np.array([np.nan, 1.0]))[0])
+    x = [-40.0, -9.0, -6.1, -3.6, -3.2, -1.0, -1e-9, 0.0, 1e-300, 0.3, 2.5, 3.5, 3.6, 5.9, 7.0, 30.0, None]
+    df = spark.createDataFrame([(v,) for v in x], "x double").select("x", tails.normal_two_sided("x").alias("p"), tails.normal_cdf("x").alias("c"))
+    for r in df.collect():
+        if r["x"] is None:
+            assert r["p"] is None and r["c"] is None
+        else:
+            assert r["p"] == pytest.approx(math.erfc(abs(r["x"]) / math.sqrt(2)), rel=1e-11, abs=1e-300)
+            assert r["c"] == pytest.approx(0.5 * math.erfc(-r["x"] / math.sqrt(2)), rel=1e-11, abs=1e-300)
+    assert "Python" not in df._jdf.queryExecution().toString()
