@@ -488,7 +488,7 @@ def _(t):
 
 @query("cross_cluster", with_sql(EXPR, CELLS, ROWS, ORTH, CG, HITS, RANKED, GAP, SUMMARY, DIAG, CHI) + """SELECT (SELECT round(count(*) / sum(n), 6) FROM pl) AS label_uniqueness, (SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) FROM pl) AS annotation_entropy,
   round(avg(first_count - second_count), 6) AS mean_first_count_gap, round(avg(hit_rate), 6) AS mean_hit_rate, count(*) FILTER (n_candidates = 0) AS n_clusters_no_candidates,
-  (SELECT round(avg((SELECT count(*) FROM cg x JOIN cg y USING (gene) WHERE x.cluster = a.cluster AND y.cluster = b.cluster) / 8), 6) FROM (SELECT DISTINCT cluster FROM cg) a JOIN (SELECT DISTINCT cluster FROM cg) b ON a.cluster < b.cluster) AS mean_marker_overlap,
+  (SELECT round(avg((SELECT count(*) FROM cg x JOIN cg y USING (gene) WHERE x.cluster = a.cluster AND y.cluster = b.cluster) / least((SELECT count(*) FROM cg x WHERE x.cluster = a.cluster), (SELECT count(*) FROM cg y WHERE y.cluster = b.cluster))), 6) FROM (SELECT DISTINCT cluster FROM cg) a JOIN (SELECT DISTINCT cluster FROM cg) b ON a.cluster < b.cluster) AS mean_marker_overlap,
   (SELECT round(sum((n - e) ** 2 / e), 6) FROM ct) AS chi2 FROM dg""")
 def _(t):
     return rounded(ov.cross_cluster(_diagnosis(t), ov.delivered(gaps(t)), cluster_genes(t), cells(t)))

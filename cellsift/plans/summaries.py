@@ -86,9 +86,9 @@ def _(t):
 
 
 @query("candidate_distributions", sig(CAND[:-1] + """, lg AS (SELECT 'n_candidates' AS variable, count(*)::DOUBLE AS value FROM ca GROUP BY cluster UNION ALL SELECT 'confidence', mean_confidence FROM ca WHERE mean_confidence IS NOT NULL),
-  d AS (""" + describe_sql("lg", "value", "variable") + ") SELECT variable, n, min, max, mean, median, p25, p75 FROM d"))
+  d AS (""" + describe_sql("lg", "value", "variable") + ") SELECT variable, n, round(min, 4) AS min, round(max, 4) AS max, round(mean, 4) AS mean, round(median, 4) AS median, round(p25, 4) AS p25, round(p75, 4) AS p75 FROM d"))
 def _(t):
-    return sm.candidate_distributions(candidates(t)).select("variable", "n", "min", "max", "mean", "median", "p25", "p75")
+    return rounded(sm.candidate_distributions(candidates(t)).select("variable", "n", "min", "max", "mean", "median", "p25", "p75"), 4)
 
 
 def _agreement_sql() -> str:
