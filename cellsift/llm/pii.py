@@ -75,39 +75,89 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+#: Items that a scan holds before it adds them to its result; pieces before a match that may hold its context.
+BLOCK, PIECES = 256, NEAR // 4
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _scan(items: Column, start: Column, step, kind: str) -> Column:
+    """Results of a walk over an array: ``step`` gives the next state and a result for a state and an item.
+
+    Results are gathered in blocks, so a long array is not copied once an item.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, item):
+        state, out = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def block(acc, k):
+        return _let(
+            F.aggregate(F.slice(items, k * BLOCK + 1, BLOCK), F.struct(acc["state"].alias("state"), none.alias("out")), one),
+            lambda part: F.struct(part["state"].alias("state"), F.concat(acc["out"], part["out"]).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(items) > 0, F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), block)["out"]).otherwise(none)
+
+
 SPAN = "array<struct<start:int,kind:int,end:int,score:int>>"
 
 
 def spans_of(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: the texts between matches and the matches, in turn, give the places.
 
-    The match of an account number is its head; the longest number that passes behind the last span counts.
+    The match of an account number is its head; the longest number that passes behind the last span counts. Each step is
+    linear in the text: places are running lengths, and a match's context comes from the pieces before it.
     """
     pattern, order = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN}[kind], KINDS.index(kind)
     matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "iban" else F.array().cast("array<string>")
-
-    def add(acc, i):
-        match = F.get(acc["m"], i)
-        start = (acc["at"] + F.length(F.get(acc["b"], i))).cast("int")
-        after = (start + F.length(match)).cast("int")
-        if kind == "iban":
-            end = (start + _account(F.concat(match, F.get(acc["r"], i)))).cast("int")
-            last = F.coalesce(F.get(acc["spans"], F.size(acc["spans"]) - 1)["end"], F.lit(0))
-            confirmed = (start >= last) & end.isNotNull()
-        else:
-            end, confirmed = after, _confirmed(kind, match)
-        before = F.substr(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
-        near = before.rlike(rf"(?i)(?:^|[^A-Za-z])(?:{CONTEXT[kind]})(?:[^A-Za-z]|$)")
-        score = (F.lit(SCORES[kind]) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0))).cast("int")
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), score.alias("score")))
-        return F.struct(
-            after.alias("at"), acc["m"].alias("m"), acc["b"].alias("b"), acc["r"].alias("r"),
-            F.when(confirmed, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    begin = F.struct(F.lit(0).alias("at"), matches.alias("m"), between.alias("b"), runs.alias("r"), F.array().cast(SPAN).alias("spans"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, add, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    tail = lambda c: F.substring(c, -NEAR, NEAR)
+
+    def pieces(x):
+        m, b = x["m"], x["b"]
+        sizes = F.transform(m, lambda match, i: F.struct(F.length(F.get(b, i)).alias("gap"), F.length(match).alias("size")))
+        return _let(F.struct(
+            m.alias("m"), x["r"].alias("r"), sizes.alias("sizes"),
+            # What stands before match i, of every piece the last code points only.
+            F.transform(m, lambda match, i: F.concat(tail(F.get(b, i)), tail(match))).alias("both"),
+            F.transform(m, lambda match, i: tail(F.get(b, i))).alias("gaps")), placed)
+
+    def placed(x):
+        step = lambda at, s: ((at + s["gap"] + s["size"]).cast("int"), (at + s["gap"]).cast("int"))
+        return _let(F.struct(x["m"].alias("m"), x["r"].alias("r"), x["both"].alias("both"), x["gaps"].alias("gaps"),
+                             _scan(x["sizes"], F.lit(0), step, "int").alias("starts")), judged)
+
+    def judged(x):
+        def span(match, i):
+            start = F.get(x["starts"], i)
+            if kind == "iban":
+                end = start + _account(F.concat(match, F.get(x["r"], i)))
+            else:
+                end = F.when(_confirmed(kind, match), start + F.length(match))
+            first = F.greatest(i - PIECES, F.lit(0))
+            context = tail(F.concat(F.array_join(F.slice(x["both"], first + 1, i - first), ""), F.get(x["gaps"], i)))
+            near = context.rlike(rf"(?i)(?:^|[^A-Za-z])(?:{CONTEXT[kind]})(?:[^A-Za-z]|$)")
+            score = F.lit(SCORES[kind]) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0))
+            return F.struct(start.cast("int").alias("start"), F.lit(order).alias("kind"), end.cast("int").alias("end"), score.cast("int").alias("score"))
+
+        found = F.filter(F.transform(x["m"], span), lambda s: s["end"].isNotNull())
+        return found if kind != "iban" else _let(found, apart)
+
+    def apart(found):
+        # An account number begins behind the one before it.
+        def step(last, s):
+            ok = s["start"] >= last
+            return F.when(ok, s["end"]).otherwise(last).cast("int"), ok
+
+        return _let(_scan(found, F.lit(0), step, "boolean"), lambda ok: F.filter(found, lambda s, i: F.get(ok, i)))
+
+    spans = _let(F.struct(matches.alias("m"), between.alias("b"), runs.alias("r")), pieces)
+    return F.when(text.rlike(pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _joined(spans: Column) -> Column:

@@ -25,6 +25,8 @@ RULES: dict[str, str] = {
     "long_words": "least(word_chars / greatest(n_words, 1) / 100, 1D)",
 }
 GRID = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.02)
+#: Share of the good texts of a stratum that all rules together may reject.
+RISK = 0.02
 #: Length bands: the strata.
 BANDS = (50, 200, 1000)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -110,16 +112,17 @@ def band() -> Column:
     return sum(((F.col("n_words") >= b).cast("int") for b in BANDS), F.lit(0))
 
 
-def select_cutoffs(measured: DataFrame, good: Column, risk: float = 0.01, confidence: float = 0.05) -> dict[tuple[int, str], float]:
-    """The tightest cutoff per (stratum, rule) whose rate of rejected good texts is at most ``risk``.
+def select_cutoffs(measured: DataFrame, good: Column, risk: float = RISK, confidence: float = 0.05) -> dict[tuple[int, str], float]:
+    """The tightest cutoffs per (stratum, rule) with which a stratum's rules together reject at most ``risk`` of its good texts.
 
-    For each stratum and rule the grid is walked from the loosest cutoff to the tightest and stops at the first one
-    whose exact binomial p-value, P(Bin(good texts, risk) <= rejected good texts), exceeds ``confidence`` divided by
+    Each rule has an equal part of its stratum's risk, so the parts of all rules together keep the bound. For each
+    stratum and rule the grid is walked from the loosest cutoff to the tightest and stops at the first one
+    whose exact binomial p-value, P(Bin(good texts, part) <= rejected good texts), exceeds ``confidence`` divided by
     the number of strata and rules (fixed sequence within, Bonferroni across). So with probability 1 - ``confidence``
-    all chosen cutoffs keep their bound. Too few labelled texts choose none. All labelled rows are counted; one row
+    every stratum keeps its bound. Too few labelled texts choose none. All labelled rows are counted; one row
     per stratum, rule and cutoff comes to the driver.
     """
-    tests = (len(BANDS) + 1) * len(RULES)
+    tests, risk = (len(BANDS) + 1) * len(RULES), risk / len(RULES)
     spots = [sum(((F.expr(v) > g).cast("int") for g in GRID), F.lit(0)).alias(name) for name, v in RULES.items()]
     held = measured.filter(good).select(band().alias("band"), *spots)
     stacked = held.select("band", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("over")) for r in RULES])).alias("x"))
@@ -137,7 +140,7 @@ def select_cutoffs(measured: DataFrame, good: Column, risk: float = 0.01, confid
     return chosen
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, confidence: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, counts, base_failed, kept, reasons) of every whole text, one row per row of ``docs``.
 
     ``labels`` (id, quality) names good texts (1); an id with several labels is good if any says so, labels without a

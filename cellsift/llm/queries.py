@@ -106,7 +106,6 @@ _PATTERNS = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}\b",
 }
 _DIGITS = "regexp_replace({m}, '[^0-9]', '', 'g')"
 _LUHN = """list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({d})[i]::INT
@@ -119,23 +118,37 @@ _VALID = {
     "ip": "list_max(list_transform(string_split(m, '.'), lambda p: CASE WHEN len(ltrim(p, '0')) > 3 THEN 999 ELSE coalesce(try_cast(p AS BIGINT), 999) END)) <= 255",
     "card": "len(d) BETWEEN 14 AND 19 AND " + _LUHN.format(d="d"),
     "phone": "len(d) BETWEEN 10 AND 15",
-    "iban": _MOD97.format(c="replace(m, ' ', '')"),
 }
 
 
-def _kind_sql(order: int, kind: str) -> str:
+def _near_sql(kind: str) -> str:
     near = rf"(^|[^A-Za-z])({pii.CONTEXT[kind]})([^A-Za-z]|$)"
+    return f"""{pii.SCORES[kind]} + CASE WHEN regexp_matches(substr(t, greatest(s - {pii.NEAR} + 1, 1), least(s, {pii.NEAR})), '{near}', 'i') THEN {pii.BONUS} ELSE 0 END"""
+
+
+def _kind_sql(order: int, kind: str) -> str:
     return f"""{kind}_m AS (SELECT rid, t, regexp_extract_all(t, '{_PATTERNS[kind]}') AS m, string_split_regex(t, '{_PATTERNS[kind]}') AS b
     FROM d WHERE regexp_matches(t, '{_PATTERNS[kind]}')),
   {kind}_s AS (SELECT rid, t, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i:
     list_sum(list_transform(b[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)))::BIGINT AS s FROM {kind}_m),
-  {kind} AS (SELECT rid, s, {order} AS k, '{kind}' AS kind, s + len(m) AS e, {pii.SCORES[kind]} + CASE WHEN regexp_matches(
-    substr(t, greatest(s - {pii.NEAR} + 1, 1), least(s, {pii.NEAR})), '{near}', 'i') THEN {pii.BONUS} ELSE 0 END AS score
+  {kind} AS (SELECT rid, s, {order} AS k, '{kind}' AS kind, s + len(m) AS e, {_near_sql(kind)} AS score
     FROM (SELECT *, {_DIGITS.format(m='m')} AS d FROM {kind}_s) WHERE {_VALID[kind]})"""
 
 
+# Heads at word boundaries, each with its longest end that passes, taken from the left behind the one before.
+_ACCOUNTS = f"""iban_h AS (SELECT rid, t, unnest(range(1, len(t) - 13)) AS p FROM d WHERE regexp_matches(t, '[A-Z][A-Z][0-9][0-9]')),
+  iban_r AS (SELECT rid, t, p - 1 AS s, substr(t, p, 4) || regexp_extract(substr(t, p + 4, 70), '^(\x20?[A-Z0-9]){{11,30}}[0-9A-Za-z_]?') AS run FROM iban_h
+    WHERE regexp_matches(substr(t, p, 4), '^[A-Z][A-Z][0-9][0-9]$') AND NOT regexp_matches(substr(t, greatest(p - 1, 1), least(p - 1, 1)), '[0-9A-Za-z_]')),
+  iban_e AS (SELECT rid, t, s, run, unnest(range(15, len(run) + 1)) AS n FROM iban_r WHERE len(run) > 14),
+  iban_c AS (SELECT rid, t, s, max(n) AS n FROM (SELECT *, replace(substr(run, 1, n), ' ', '') AS code FROM iban_e
+      WHERE NOT regexp_matches(substr(run, n + 1, 1), '[0-9A-Za-z_]')) WHERE regexp_matches(code, '^[A-Z0-9]{{15,34}}$') AND {_MOD97.format(c="code")} GROUP BY 1, 2, 3),
+  iban_l AS (SELECT rid, any_value(t) AS t, list_concat([[]::STRUCT(s BIGINT, e BIGINT)[]], list([{{'s': s::BIGINT, 'e': (s + n)::BIGINT}}] ORDER BY s)) AS found FROM iban_c GROUP BY 1),
+  iban AS (SELECT rid, x.s AS s, 4 AS k, 'iban' AS kind, x.e AS e, {_near_sql("iban").replace("(s - ", "(x.s - ").replace("least(s,", "least(x.s,")} AS score FROM (SELECT rid, t, unnest(list_reduce(found, lambda a, y:
+    CASE WHEN len(a) = 0 OR y[1].s >= a[len(a)].e THEN a || y ELSE a END)) AS x FROM iban_l))"""
+
+
 SQL["op4_pii"] = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-  {', '.join(_kind_sql(i, k) for i, k in enumerate(pii.KINDS))},
+  {', '.join(_kind_sql(i, k) for i, k in enumerate(pii.KINDS[:4]))}, {_ACCOUNTS},
   every AS ({' UNION ALL '.join(f'SELECT * FROM {k}' for k in pii.KINDS)}),
   joined AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS[:4])}, count(*) AS n_spans,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) AS base,
