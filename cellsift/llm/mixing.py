@@ -89,7 +89,8 @@ def schedule(planned: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """(id, size, source_size, target, taken, *keep), one row per row of ``docs``: the words of each text that the mix takes.
+    """(id, size, source_size, target, taken, first_slot, n_slots, *keep), one row per row of ``docs``: the words of each text that
+    the mix takes, and the slots of the schedule in which it stands: the first one (null: in none) and how many.
 
     Size is the number of words between ASCII white space; null and empty texts have none and nothing is taken. The texts
     of a source are shuffled (by the MD5 of their id, then id and size) and laid end to end; this line is cut into blocks of ``block`` words (the last
@@ -109,16 +110,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     laid = running(some, ["source"], ["mixed", "id", "size", *keep], {"start": ("sum", "size", "before")}).withColumn("start", F.coalesce("start", F.lit(0)).cast("long"))
     # A text meets the slots of the blocks that it touches.
     touched = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    s = slots.select(F.col("source").alias("slot_source"), F.col("block").alias("slot_block"), "words")
+    s = slots.select("slot", F.col("source").alias("slot_source"), F.col("block").alias("slot_block"), "words")
     met = touched.join(s, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")), "left")
     begin = F.col("block") * block
     part = F.least(F.col("start") + F.col("size"), begin + F.coalesce("words", F.lit(0))) - F.greatest("start", begin)
-    took = met.groupBy("id", "source", "start", "size", *keep).agg(F.coalesce(F.sum(F.greatest(part, F.lit(0))), F.lit(0)).alias("taken"))
-    none = sized.filter("size = 0").select("id", "source", "size", F.lit(0).cast("long").alias("taken"), *keep)
-    every = took.select("id", "source", "size", "taken", *keep).unionByName(none)
+    took = met.groupBy("id", "source", "start", "size", *keep).agg(
+        F.coalesce(F.sum(F.greatest(part, F.lit(0))), F.lit(0)).alias("taken"), F.min(F.when(part > 0, F.col("slot"))).alias("first_slot"),
+        F.count_if(part > 0).alias("n_slots"))
+    zero = F.lit(0).cast("long")
+    none = sized.filter("size = 0").select("id", "source", "size", zero.alias("taken"), F.lit(None).cast("long").alias("first_slot"), zero.alias("n_slots"), *keep)
+    every = took.select("id", "source", "size", "taken", "first_slot", "n_slots", *keep).unionByName(none)
     g = _small(goals.select(F.col("source").alias("goal_source"), "source_size", "target"), n)
     return every.join(g, F.col("source").eqNullSafe(F.col("goal_source"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), *keep)
+        F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot", "n_slots", *keep)
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -166,11 +166,20 @@ SQL["op6_mix_sources"] = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_
   l AS (SELECT arg_min(level, (ratio, nth)) AS level FROM f WHERE level <= ratio),
   g AS (SELECT source, source_size, least(cap, l.level * weight) AS target FROM f, l),
   q AS (SELECT *, least(floor(target + 0.5), 2 * source_size)::BIGINT AS words FROM g),
-  p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id, size
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d WHERE size > 0)
+  p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d WHERE size > 0),
+  b AS (SELECT *, ceil(source_size / 256)::BIGINT AS blocks, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS rounds FROM q),
+  e AS (SELECT *, sum(slots) OVER (ORDER BY source IS NULL, source)::BIGINT AS upto FROM (SELECT *, (rounds * blocks + ceil((words - rounds * source_size) / 256))::BIGINT AS slots FROM b)),
+  m AS (SELECT sum(slots)::BIGINT AS m FROM e),
+  -- A step coprime to the slots, from next to their number over the golden ratio on.
+  st AS (SELECT min(x) AS step FROM (SELECT m, unnest(range(greatest(1, round(m / ((1 + sqrt(5)) / 2)))::BIGINT, greatest(1, round(m / ((1 + sqrt(5)) / 2)))::BIGINT + 5000)) AS x FROM m) WHERE gcd(x, m) = 1),
+  pt AS (SELECT slot, ((slot::HUGEINT * step) % m)::BIGINT AS point FROM (SELECT unnest(range(m)) AS slot, m FROM m), st),
+  tu AS (SELECT slot, source, source_size, words, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS turn FROM pt JOIN e ON point >= upto - slots AND point < upto),
+  sb AS (SELECT slot, source, turn % blocks * 256 AS head, least(256, source_size - turn % blocks * 256, words - turn // blocks * source_size - turn % blocks * 256) AS w FROM tu),
+  fs AS (SELECT rid, min(slot) AS first_slot, count(*) AS n_slots FROM p JOIN sb ON p.source IS NOT DISTINCT FROM sb.source AND w > 0 AND start < head + w AND start + size > head GROUP BY 1)
 SELECT d.doc_id, d.size, q.source_size, q.target, CASE WHEN d.size = 0 THEN 0 ELSE (q.words // q.source_size) * d.size
-  + greatest(least(p.start + d.size, q.words % q.source_size) - p.start, 0) END::BIGINT AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN p ON d.rid = p.rid"""
+  + greatest(least(p.start + d.size, q.words % q.source_size) - p.start, 0) END::BIGINT AS taken, first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN p ON d.rid = p.rid LEFT JOIN fs ON d.rid = fs.rid"""
 
 _WORDS = (r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")

@@ -382,8 +382,12 @@ def test_binomial_tail():
 
 @pytest.mark.parametrize("block", [1, 7, 256])
 def test_mix_equals_sql(spark, odd, tmp_path, block):
-    got = mixing.mix(odd, block=block).toPandas()
-    same(got, by_sql(spark, odd, "op6_mix_sources", tmp_path))
+    got = mixing.mix(odd, block=block).toPandas().astype({"first_slot": "Int64"})
+    want = by_sql(spark, odd, "op6_mix_sources", tmp_path).astype({"first_slot": "Int64"})
+    assert ((got.n_slots > 0) == (got.taken > 0)).all() and (got.first_slot.isna() == (got.taken == 0)).all()
+    # The SQL has blocks of the usual size.
+    slots = [] if block == mixing.BLOCK else ["first_slot", "n_slots"]
+    same(got.drop(columns=slots), want.drop(columns=slots))
     assert (got.taken <= 2 * got["size"]).all()
 
 
@@ -578,3 +582,56 @@ def test_texts_of_many_languages_stay(spark):
     model = language.Model(["de", "en", "fr"], np.zeros((language.SLOTS, 3), np.float32), np.zeros((3, 3), np.float32))
     docs = spark.createDataFrame([(1, "der the le"), (2, None), (3, " 12 "), (4, "")], "doc_id long, text string")
     assert [r[0] for r in language.keep_identified(docs, model).collect()] == [1]
+
+
+def test_placements_equal_plain_hashes(spark, odd):
+    """Slot, shard and size of each row of the whole query, from the hash of its id or text and the plain filling."""
+    table = sharding.lookup_table([f"shard-{i:03d}" for i in range(sharding.SHARDS)], sharding.SLOTS)
+    rows = odd.select("doc_id", "text").collect()
+
+    def slot(i, t):
+        own = str(i) if i is not None else "\x00" + t if t is not None else "\x00"
+        h = xxhash.xxh64_intdigest(own.encode(), 42)
+        return (h - (1 << 64) * (h >> 63)) % sharding.SLOTS
+
+    want = Counter((i, slot(i, t), f"shard-{table[slot(i, t)]:03d}", len((t or "").encode())) for i, t in rows)
+    assert Counter(tuple(r) for r in sharding.placements(odd).collect()) == want
+
+
+def test_severity_equals_plain_rule(spark, odd):
+    """Features by their log odds, each text's grade by its words, and weights at which the likelihood is flat."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        g = rng.choice([0, 0, 0, 1, 2])
+        bad = [rng.choice(["idiot", "schwein", "moron"][: g + 1]) for _ in range(g)]
+        g = rng.choice([0, 1, 2]) if rng.random() < 0.2 else g  # words don't settle all
+        rows.append((i, " ".join([*[rng.choice("the a of with Straße be to in".split()) for _ in range(12)], *bad]), g))
+    model = toxicity.fit(spark.createDataFrame(rows, "id long, text string, grade int"))
+    has = [(set(re.findall(r"[^\W\d_]+", t.lower())), g) for _, t, g in rows]
+    bad, clean = sum(g > 0 for _, g in has), sum(g == 0 for _, g in has)
+    z = {}
+    for word in set().union(*(w for w, _ in has)):
+        a, b = sum(word in w for w, g in has if g) + 0.5, sum(word in w for w, g in has if not g) + 0.5
+        c, d = bad + 1 - a, clean + 1 - b
+        z[word] = (math.log(a / c) - math.log(b / d)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    assert set(model.features) == {w for w, v in z.items() if abs(v) >= toxicity.LEAST_Z} and "idiot" in model.features
+
+    def chances(text, weights, cuts):
+        n = Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        x = sum((1 + math.log(n[f])) * w for f, w in zip(model.features, weights) if n[f])
+        up = [1 / (1 + math.exp(c - x)) for c in cuts]
+        return [1 - up[0], *(u - v for u, v in zip(up, up[1:])), up[-1]]
+
+    got = {r["doc_id"]: r for r in toxicity.grade(spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, None)], "doc_id long, text string"), model).collect()}
+    for i, t, _ in [*rows, (-1, None, 0)]:
+        p = chances(t, model.weights, model.cuts)
+        assert math.isclose(got[i]["expected_severity"], sum(k * v for k, v in enumerate(p)), rel_tol=1e-9)
+        assert math.isclose(got[i]["p_toxic"], 1 - p[0], rel_tol=1e-9, abs_tol=1e-12) and got[i]["severity"] == max(range(3), key=lambda k: (p[k], -k))
+    loss = lambda w, c: -sum(math.log(chances(t, w, c)[g]) for _, t, g in rows) / len(rows) + 5e-6 * sum(v * v for v in w)
+    best = loss(model.weights, model.cuts)
+    for k in range(len(model.features)):
+        for step in (-0.5, 0.5):
+            moved = np.array(model.weights, dtype=float)
+            moved[k] += step
+            assert loss(moved, model.cuts) > best - 1e-3
