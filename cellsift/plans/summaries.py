@@ -8,11 +8,12 @@ from cellsift.operators import distribution as dist
 from cellsift.operators import embedding as em
 from cellsift.operators import neighbors as nb
 from cellsift.operators import normalize as nz
+from cellsift.operators import qc
 from cellsift.operators import summaries as sm
 from cellsift.plans.embedding import G, ORDER, RES, edges, points, resolutions
-from cellsift.plans.inputs import CELLS, CG, EXPR, FINE, NORM, cells, cluster_genes, matrix, n_cells, norm, with_sql
+from cellsift.plans.inputs import CELLS, CG, EXPR, FINE, LONG, METRICS, NORM, cells, cluster_genes, matrix, n_cells, norm, with_sql
 from cellsift.plans.knowledge import CAND, candidates
-from cellsift.plans.quality import BREADTH, DE_ALL, FNORM, HVG, _breadth, _de, describe_sql, rounded, sig
+from cellsift.plans.quality import BREADTH, DE_ALL, FNORM, HVG, _breadth, _de, describe_sql, metrics, rounded, sig
 from cellsift.plans.registry import query
 from cellsift.session import durable
 
@@ -133,3 +134,12 @@ def _(t):
     sets = cluster_genes(t).select("cluster", F.when(F.col("position") % 2 == 1, "first").otherwise("second").alias("which"),
                                    F.when(F.col("position") % 5 == 0, F.concat("gene", F.lit("?"))).otherwise(F.col("gene")).alias("gene_id"))
     return sm.available_genes(sets, matrix(t))
+
+
+@query("ks_normal", with_sql(EXPR, METRICS, LONG, """sp AS (SELECT variable, avg(value) AS mu, stddev_pop(value) AS sd, count(value) AS n FROM long GROUP BY 1),
+  cm AS (SELECT variable, value, count(*) AS c, sum(count(*)) OVER (PARTITION BY variable ORDER BY value) AS hi FROM long GROUP BY 1, 2),
+  zs AS (SELECT *, (value - mu) / (sd + 1e-9) AS z, abs((value - mu) / (sd + 1e-9)) / sqrt(2) AS xs FROM cm JOIN sp USING (variable)),
+  ps AS (SELECT *, """ + ERFC.format(x="xs") + """ / 2 AS tail FROM zs)""") + """
+  SELECT variable, round(max(greatest(hi / n - f, f - (hi - c) / n)), 6) AS ks_statistic_vs_normal FROM (SELECT *, CASE WHEN z < 0 THEN tail ELSE 1 - tail END AS f FROM ps) GROUP BY 1""")
+def _(t):
+    return rounded(dist.ks_normal(qc.melt(metrics(t), qc.QC_COLUMNS), "value", ["variable"]))
