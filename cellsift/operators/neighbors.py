@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from cellsift.operators import blocks
 from cellsift.operators.distribution import describe
-from cellsift.operators.hot import least_neighbors
+from cellsift.operators.hot import hot_join, least_neighbors
 from cellsift.session import durable
 
 
@@ -26,35 +27,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0.0))
 
 
-def place(points: DataFrame, id_col: str = "id", vec: str = "x", pivots: int = 16, block: int = 2048) -> DataFrame:
-    """(id, x, _p, _r, _b): nearest pivot, distance to it, and a block of at most about ``block`` points.
-
-    The pivots are a few points picked by hash. A cell that holds more points than
-    a block is split by hash, so no block grows with the data.
-    """
-    # As many vectors as the caller asks for come to the driver.
-    chosen = points.select(id_col, vec).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(pivots).collect()
-    centers = np.array([r[vec] for r in chosen], dtype=float)
-    kind = points.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField("id", kind), T.StructField("x", T.ArrayType(T.DoubleType())),
-        T.StructField("_p", T.IntegerType()), T.StructField("_r", T.DoubleType())])
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float)
-            d = _distances(x, centers)
-            p = d.argmin(1)
-            yield pd.DataFrame({"id": pdf["id"], "x": list(x), "_p": p.astype("int32"), "_r": d[np.arange(len(p)), p]})
-
-    at = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("x")).mapInPandas(nearest, schema)
-    at = durable(at)
-    sizes = at.groupBy("_p").agg(F.ceil(F.count("*") / block).alias("_k"))
-    blocked = at.join(sizes, "_p").withColumn(
-        "_b", F.concat_ws(".", "_p", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), "_k").cast("string"))).drop("_k")
-    return blocked
-
-
 def _block_search(k: int, kind):
     """(schema, function): the k nearest right rows of every left row, for one pair of blocks."""
     schema = T.StructType([T.StructField("id", kind), T.StructField("nbr", kind), T.StructField("dist", T.DoubleType())])
@@ -85,57 +57,28 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def knn_join(points: DataFrame, k: int = 15, id_col: str = "id", vec: str = "x", pivots: int = 16, block: int = 2048) -> DataFrame:
-    """Exact k nearest neighbours (id, nbr, dist, rank), the row itself excluded.
-
-    Points are grouped by nearest pivot and cut into blocks. Every block first looks
-    inside its own pivot's blocks of the same number, which bounds how far its
-    neighbours can be; by the triangle inequality a block pair whose pivots are
-    farther apart than that bound plus both radii cannot hold one and is skipped. A
-    block full of copies (bound 0) is done at once: nothing can be nearer.
-    The remaining pairs are spread over tasks of two blocks each, and each keeps its
-    k best per row before anything is merged.
+    """Exact k nearest neighbours (id, nbr, dist, rank), the row itself excluded; ties go to the smaller id. The result is stored.
+
+    Points are packed into blocks of close ones (``pivots`` cells at least), and a row meets the blocks that may hold a
+    nearer point than its own, see ``blocks``. Of equal vectors the k + 1 smallest ids meet the others: no further copy can be
+    a neighbour of anything, and it has the neighbours of the first. Rows with a null vector or id are left out.
     """
-    placed = durable(place(points, id_col, vec, pivots, block))
-    kind = placed.schema["id"].dataType
-    schema, near = _block_search(k, kind)
-    left = placed.select("id", "x", F.col("_b").alias("_l"))
-    right = placed.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("_b").alias("_s"))
-    own = left.groupBy("_l").cogroup(right.groupBy("_s")).applyInPandas(near, schema)
-    first = durable(_top(own, k))
-    # A row that found fewer than k inside its own block has no bound yet.
-    reach = first.groupBy("id").agg(F.count("*").alias("_n"), F.max("dist").alias("_d"))
-    bound = placed.select("id", "_b").join(reach, "id", "left").groupBy("_b").agg(
-        F.max(F.when(F.col("_n") >= k, F.col("_d")).otherwise(float("inf"))).alias("_far"))
-    blocks = placed.groupBy("_b", "_p").agg(F.max("_r").alias("_rad")).join(bound, "_b")
-    gaps = _pivot_gaps(placed)
-    # Blocks number points / block; each is matched with the pivots near enough, then with their blocks.
-    wanted = (
-        blocks.select(F.col("_b").alias("_l"), F.col("_p").alias("_pl"), F.col("_rad").alias("_rl"), "_far")
-        .join(gaps, "_pl")
-        .join(blocks.select(F.col("_b").alias("_s"), F.col("_p").alias("_ps"), F.col("_rad").alias("_rs")), "_ps")
-        .where("_far > 0 AND _gap <= (_far + _rl + _rs) * 1.000000001D AND _l <> _s")
-        .select("_l", "_s")
-    )
-    wanted = durable(wanted)
-    lefts = left.join(wanted, "_l")
-    rights = right.join(wanted.select(F.col("_l").alias("_l2"), "_s"), "_s").withColumnRenamed("_s", "_s2")
-    others = lefts.groupBy("_l", "_s").cogroup(rights.groupBy("_l2", "_s2")).applyInPandas(near, schema)
-    return _top(first.select("id", "nbr", "dist").unionByName(others), k)
-
-
-def _pivot_gaps(placed: DataFrame) -> DataFrame:
-    """Distances between pivots, from the closest point of each: (pl, ps, gap), a lower bound."""
-    # The pivot of a cell is the point at distance 0 from itself; one row per pivot.
-    heads = placed.where(F.col("_r") < 1e-9).groupBy("_p").agg(F.min_by("x", "id").alias("x"))
-    listed = heads.select(F.collect_list(F.struct("_p", "x"))).scalar()
-    d2 = F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return (
-        heads.select(F.col("_p").alias("_pl"), F.col("x").alias("_x"))
-        .withColumn("_h", listed)
-        .select("_pl", "_x", F.explode("_h").alias("_o"))
-        .select("_pl", F.col("_o._p").alias("_ps"), "_x", F.col("_o.x").alias("_y"))
-        .select("_pl", "_ps", F.sqrt(d2).alias("_gap"))
-    )
+    held = durable(points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("x")).where("id IS NOT NULL AND x IS NOT NULL"))
+    keyed = held.withColumn("_h", F.xxhash64("x"))
+    # row_number() <= k + 1 is cut before the shuffle, so copies do not move whole.
+    copies = keyed.withColumn("_n", F.row_number().over(W.partitionBy("_h", "x").orderBy("id")))
+    kept = durable(copies.where(F.col("_n") <= k + 1))
+    found = durable(_top(blocks.nearest(kept.select("id", "x"), k, block, pivots), k))
+    if kept.count() == held.count():
+        return found
+    heads = kept.where("_n = 1").select("_h", "x", F.col("id").alias("_first"))
+    lists = found.join(heads.select(F.col("_first").alias("id")), "id").groupBy(F.col("id").alias("_first")).agg(F.collect_list(F.struct("dist", "nbr")).alias("_l"))
+    own = F.array(F.struct(F.lit(0.0).alias("dist"), F.col("_first").alias("nbr")))
+    answers = heads.join(lists, "_first").select("_h", "x", F.slice(F.sort_array(F.concat("_l", own)), 1, k).alias("_l"))
+    rest = durable(keyed.join(kept.select("id"), "id", "left_anti"))
+    more = hot_join(rest, durable(answers), ["_h", "x"], "inner").select("id", F.posexplode("_l").alias("_p", "_s")).select(
+        "id", "_s.nbr", "_s.dist", (F.col("_p") + 1).cast("int").alias("rank"))
+    return durable(found.unionByName(more))
 
 
 def knn_graph(neighbors: DataFrame) -> DataFrame:

@@ -259,3 +259,18 @@ def test_components_of_nothing(spark):
     assert one.variances == [] and [tuple(r) for r in one.scores.collect()] == [(1, [])]
     same = principal_components(spark.createDataFrame([(1, "a", 2.0), (2, "a", 4.0)], none.schema))
     assert same.variances == pytest.approx([2.0]) and sorted(r["x"][0] for r in same.scores.collect()) == pytest.approx([2.0, 4.0])
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_ties_of_copies_go_to_the_smaller_id(spark, block):
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.ones((300, 3)), rng.normal(0, 1e-4, (60, 3)) + 4, rng.normal(0, 3, (140, 3))])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(f"r{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, x array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 12)
+    np.fill_diagonal(d, np.inf)
+    want = {(f"r{i:03d}", n + 1): f"r{j:03d}" for i in range(len(x)) for n, j in enumerate(np.argsort(d[i], kind="stable")[:7])}
+    got = nb.knn_join(df, 7, block=block).collect()
+    assert {(r["id"], r["rank"]): r["nbr"] for r in got} == want
+    assert max(abs(r["dist"] - d[int(r["id"][1:]), int(r["nbr"][1:])]) for r in got) < 1e-9
+    assert nb.knn_join(df.limit(0), 7).count() == 0
