@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from cellsift.operators import blocks
 from cellsift.operators.distribution import describe, gini
-from cellsift.operators.neighbors import _distances, knn_join
+from cellsift.operators.neighbors import knn_join
 from cellsift.session import durable
 
 
@@ -50,48 +48,24 @@ def variance_summary(ratios: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, max_n: int | None = None, seed: int = 0, id_col: str = "id", vec: str = "x",
-               cluster: str = "cluster", block: int = 1024) -> DataFrame:
+               cluster: str = "cluster", block: int = 2048) -> DataFrame:
     """(id, cluster, a, b, silhouette) with Euclidean distances.
 
     Every row is scored; only a caller who names max_n gets a seeded sample. Blocks of
-    rows meet in pairs, and only distance sums per (row, cluster) leave a task: the work
-    is quadratic in the rows.
+    rows meet in tiles, and only distance sums per (row, cluster) leave a task: the work
+    is quadratic in the rows. The result is stored.
     """
     held = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("cluster"))
     pts = durable(sample_rows(held, max_n, seed, "id"))
-    kind = pts.schema["id"].dataType
-    sums = _block_sums(pts, kind, block)
+    sums = blocks.cluster_sums(pts, pts.count(), block)
     sizes = pts.groupBy("cluster").agg(F.count("*").alias("_n"))
     own = F.col("other") == F.col("cluster")
     joined = sums.join(pts.select("id", "cluster"), "id").join(sizes.withColumnRenamed("cluster", "other"), "other")
     per = joined.groupBy("id", "cluster").agg(
         F.max(F.when(own & (F.col("_n") > 1), F.col("total") / (F.col("_n") - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("_n"))).alias("b"))
-    return per.withColumn("silhouette", F.expr(
-        "IF(b IS NULL, NULL, coalesce(IF(greatest(a, b) > 0, (b - a) / greatest(a, b), 0D), 0D))"))
-
-
-def _block_sums(pts: DataFrame, kind, block: int) -> DataFrame:
-    """(id, other, total): summed distance from a row to every cluster's rows.
-
-    Blocks are numbered 0..m-1 by hash; block i meets block j in its own task.
-    """
-    m = pts.select(F.greatest(F.ceil(F.count("*") / block), F.lit(1))).scalar()
-    tagged = pts.withColumn("_m", m).withColumn("_b", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), "_m").cast("int"))
-    left = tagged.select("id", "x", "cluster", F.col("_b").alias("_l"), F.explode(F.expr("sequence(0, CAST(_m AS INT) - 1)")).alias("_r"))
-    right = tagged.select(F.col("x").alias("rx"), F.col("cluster").alias("rc"), F.col("_b").alias("_r2"), F.explode(F.expr("sequence(0, CAST(_m AS INT) - 1)")).alias("_l2"))
-    schema = T.StructType([T.StructField("id", kind), T.StructField("other", T.StringType()), T.StructField("total", T.DoubleType())])
-
-    def sums(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "total": []})
-        d = _distances(np.array(a["x"].tolist(), dtype=float), np.array(b["rx"].tolist(), dtype=float))
-        names, where = np.unique(b["rc"].to_numpy(dtype=str), return_inverse=True)
-        total = d @ np.eye(len(names))[where]
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "other": np.tile(names, len(a)), "total": total.ravel()})
-
-    found = left.groupBy("_l", "_r").cogroup(right.groupBy("_l2", "_r2")).applyInPandas(sums, schema)
-    return found.groupBy("id", "other").agg(F.sum("total").alias("total"))
+    return durable(per.withColumn("silhouette", F.expr(
+        "IF(b IS NULL, NULL, coalesce(IF(greatest(a, b) > 0, (b - a) / greatest(a, b), 0D), 0D))")))
 
 
 def silhouette_summary(rows: DataFrame) -> DataFrame:
@@ -253,40 +227,18 @@ def trustworthiness(points: DataFrame, k: int = 15, max_n: int | None = None, se
     """How far neighbours in the layout are neighbours in the full space, over all rows (a seeded sample if max_n is named).
 
     A layout neighbour's rank in the full space is the number of rows that
-    are closer. Blocks of rows meet in pairs, each pair in a task.
+    are closer, ties by id. Blocks of rows meet in tiles, each pair of tiles in a task.
     """
     pts = durable(sample_rows(points.select(F.col(id_col).alias("id"), F.col(high).cast("array<double>").alias("x"), F.col(low).cast("array<double>").alias("y")), max_n, seed, "id"))
     near = knn_join(pts.select("id", F.col("y").alias("x")), k).select("id", "nbr")
     asked = near.join(pts.select("id", "x"), "id").join(pts.select(F.col("id").alias("nbr"), F.col("x").alias("_nx")), "nbr").withColumn("_d", F.round(F.sqrt(_sq("x", "_nx")), 12))
-    per = asked.groupBy("id").agg(F.collect_list(F.struct("nbr", "_d")).alias("_q"), F.first("x").alias("x"))
-    ranked = _ranks_among(per, pts, k)
-    n = F.lit(pts.count()).cast("double")
-    return ranked.agg(F.sum("_over").alias("_s")).select((1 - 2 / (n * k * (2 * n - 3 * k - 1)) * F.coalesce("_s", F.lit(0))).alias("trustworthiness"))
-
-
-def _ranks_among(asked: DataFrame, pts: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """Per asked (id, neighbour): rank in the full space minus k, if positive."""
-    m = pts.select(F.greatest(F.ceil(F.count("*") / block), F.lit(1))).scalar()
-    tag = lambda df, c, e: df.withColumn("_m", m).withColumn(c, F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(13)), "_m").cast("int")).withColumn(e, F.explode(F.expr("sequence(0, CAST(_m AS INT) - 1)"))).drop("_m")
-    kind = pts.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("nbr", kind), T.StructField("closer", T.LongType())])
-
-    def count(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, nbrs, closer = [], [], []
-        if len(a) and len(b):
-            d = np.round(_distances(np.array(a["x"].tolist(), dtype=float), np.array(b["x"].tolist(), dtype=float)), 12)
-            other = b["id"].to_numpy()
-            for i, (rid, q) in enumerate(zip(a["id"], a["_q"])):
-                row = d[i].copy()
-                row[other == rid] = np.inf
-                for one in q:
-                    ids.append(rid)
-                    nbrs.append(one["nbr"])
-                    closer.append(int(((row < one["_d"] - 1e-9) & (other != one["nbr"])).sum()))
-        return pd.DataFrame({"id": ids, "nbr": nbrs, "closer": closer})
-
-    found = tag(asked, "_l", "_r").groupBy("_l", "_r").cogroup(tag(pts.select("id", "x"), "_r", "_l").groupBy("_l", "_r")).applyInPandas(count, schema)
-    return found.groupBy("id", "nbr").agg((F.sum("closer") + 1).alias("rank")).select("id", "nbr", F.greatest(F.col("rank") - k, F.lit(0)).alias("_over"))
+    per = asked.groupBy("id").agg(F.collect_list("nbr").alias("nbrs"), F.collect_list("_d").alias("dists"))
+    total = pts.count()
+    # The number of closer rows and the neighbour itself, less k.
+    over = F.greatest(F.col("closer") + 1 - k, F.lit(0))
+    n = F.lit(total).cast("double")
+    return blocks.closer_rows(per, pts.select("id", "x"), total).agg(F.sum(over).alias("_s")).select(
+        (1 - 2 / (n * k * (2 * n - 3 * k - 1)) * F.coalesce("_s", F.lit(0))).alias("trustworthiness"))
 
 
 def continuity(points: DataFrame, k: int = 16, max_n: int | None = None, seed: int = 0, high: str = "x", low: str = "y", id_col: str = "id") -> DataFrame:
@@ -303,7 +255,7 @@ def layout_separation(points: DataFrame, max_n: int | None = None, seed: int = 0
     First the mean per cluster, then the mean of the clusters' means.
     """
     pts = durable(sample_rows(points.select(F.col(id_col).alias("id"), F.col(low).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("cluster")), max_n, seed, "id"))
-    sums = _block_sums(pts, pts.schema["id"].dataType, 1024).join(pts.select("id", "cluster"), "id")
+    sums = blocks.cluster_sums(pts, pts.count()).join(pts.select("id", "cluster"), "id")
     n = pts.groupBy("cluster").agg(F.count("*").alias("_n"))
     total = pts.select(F.count("*")).scalar()
     own = F.col("other") == F.col("cluster")

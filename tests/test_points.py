@@ -274,3 +274,22 @@ def test_ties_of_copies_go_to_the_smaller_id(spark, block):
     assert {(r["id"], r["rank"]): r["nbr"] for r in got} == want
     assert max(abs(r["dist"] - d[int(r["id"][1:]), int(r["nbr"][1:])]) for r in got) < 1e-9
     assert nb.knn_join(df.limit(0), 7).count() == 0
+
+
+def test_trustworthiness_ranks_ties_by_id(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 3))
+    x[20:70] = x[20]  # equally far from everything
+    y = rng.normal(size=(150, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(x, y))], "id int, x array<double>, y array<double>")
+
+    def ranks(p):
+        d = np.round(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), 12)
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1) + 1
+
+    high, low = ranks(x), ranks(y)
+    np.fill_diagonal(low, 150)
+    k, n = 5, 150.0
+    want = 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * np.maximum(high - k, 0)[low <= k].sum()
+    assert em.trustworthiness(df, k).first()[0] == pytest.approx(want, abs=1e-12)
