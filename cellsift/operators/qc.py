@@ -41,7 +41,7 @@ def qc_metrics(
         cell,
         "n_genes",
         F.col("total_counts").cast("double"),
-        *[F.expr(f"100D * try_divide(_s_{k}, total_counts)").alias(f"pct_{k}") for k in patterns],
+        *[F.expr(f"try_divide(100D * _s_{k}, total_counts)").alias(f"pct_{k}") for k in patterns],
     )
 
 

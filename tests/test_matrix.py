@@ -140,3 +140,9 @@ def test_variable_genes_prefer_the_noisy_one(spark):
     got = nz.select_variable_genes(norm, 200, n_top=3)
     assert got.where("highly_variable").count() == 3
     assert got.where("gene_id = 'g07'").first()["highly_variable"]
+
+
+def test_percent_is_rounded_once(spark):
+    expr = spark.createDataFrame([("c", "MT-1", 7.0), ("c", "g", 18.0)], "cell_id string, gene_id string, count double")
+    # 100 * (7 / 25) is above 28, so the value would fall into the next bin.
+    assert qc.qc_metrics(expr, {"mt": qc.MITO_PATTERN, "cp": qc.CHLORO_PATTERN}).first()["pct_mt"] == 28.0
