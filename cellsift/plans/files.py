@@ -180,8 +180,9 @@ def _(t):
 def _(t):
     def run(folder):
         sk.write_markers(folder, durable(markers(t)))
-        flat = t.spark.read.option("header", True).csv(f"{folder}/markers_csv").groupBy("cluster").agg(F.count("*").alias("n_rows"))
-        kept = t.spark.read.json(f"{folder}/markers_json").select("cluster", F.size("markers").cast("long").alias("n_kept"), F.array_join("markers.gene_id", ",").alias("genes"))
+        rows, nested = rd.read_markers(t.spark, folder)
+        flat = rows.groupBy("cluster").agg(F.count("*").alias("n_rows"))
+        kept = nested.select("cluster", F.size("markers").cast("long").alias("n_kept"), F.array_join("markers.gene_id", ",").alias("genes"))
         return flat.join(kept, "cluster", "left").fillna(0, ["n_kept"]).fillna("", ["genes"])
 
     return with_files(t.spark, run)
@@ -206,8 +207,8 @@ def _(t):
     def run(folder):
         found = durable(cd.reverse_marker_dict(candidates(t)))
         sk.write_marker_dict(folder, found, cd.dict_coverage(found, entries))
-        genes = t.spark.read.json(f"{folder}/gene_to_types").select(F.lit("gene").alias("item"), F.col("gene").alias("name"), F.size("cell_types").cast("long").alias("n"))
-        return genes.unionByName(t.spark.read.json(f"{folder}/coverage").select(F.lit("coverage").alias("item"), F.col("true").alias("name"), F.col("n_markers").alias("n")))
+        genes = t.spark.read.schema("gene string, cell_types array<string>").json(f"{folder}/gene_to_types").select(F.lit("gene").alias("item"), F.col("gene").alias("name"), F.size("cell_types").cast("long").alias("n"))
+        return genes.unionByName(t.spark.read.schema("true string, n_markers long").json(f"{folder}/coverage").select(F.lit("coverage").alias("item"), F.col("true").alias("name"), F.col("n_markers").alias("n")))
 
     return with_files(t.spark, run)
 

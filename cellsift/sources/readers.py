@@ -264,3 +264,10 @@ def load_pins(spark: SparkSession, path: str) -> DataFrame:
 
 def load_aliases(spark: SparkSession, path: str) -> DataFrame:
     return _text_map(spark, path, "aliases").toDF("alias", "node")
+
+
+def read_markers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(flat rows, kept markers per cluster) of ``write_markers``; the kinds are stated, as no file may hold a row."""
+    flat = spark.read.schema("cluster string, gene_id string, logfc double, pval double, pval_adj double, auc double, pct1 double, pct2 double, "
+                             "pct1_minus_pct2 double, status string").option("header", True).csv(f"{folder}/markers_csv")
+    return flat, spark.read.schema("cluster string, markers array<struct<gene_id:string,marker_rank:int>>").json(f"{folder}/markers_json")

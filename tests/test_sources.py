@@ -166,3 +166,14 @@ def test_gaps_of_a_large_shuffled_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     got = _drain(spark, st.stream_gaps(st.tail_log(spark, str(folder))), "gaps2", "append", tmp_path)
     assert [tuple(r) for r in got.collect()] == [("r1", 778, 777)]
+
+
+def test_markers_are_read_when_none_was_kept(spark, tmp_path):
+    kind = "cluster string, gene_id string, logfc double, pval double, pval_adj double, auc double, pct1 double, pct2 double, pct1_minus_pct2 double, status string, marker_rank int"
+    row = ("a", "g", 1.0, 0.5, 0.5, 0.5, 0.1, 0.1, 0.0, "dropped", None)
+    sk.write_markers(str(tmp_path / "some"), spark.createDataFrame([row, (*row[:9], "kept", 1)], kind))
+    sk.write_markers(str(tmp_path / "none"), spark.createDataFrame([row], kind))
+    rows, nested = rd.read_markers(spark, str(tmp_path / "some"))
+    assert rows.count() == 2 and nested.select("cluster", "markers.gene_id").first() == ("a", ["g"])
+    rows, nested = rd.read_markers(spark, str(tmp_path / "none"))
+    assert [(r["cluster"], r["status"]) for r in rows.collect()] == [("a", "dropped")] and nested.select("cluster", "markers.gene_id").count() == 0
