@@ -87,6 +87,10 @@ MISSING_SCHEMA = T.StructType([
     T.StructField("run", T.StringType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("event", T.StringType())])
 
 
+#: Seqs of a slot: the ranges that begin in it share one entry of the state.
+SLOT = 1 << 16
+
+
 class _Missing(StatefulProcessor):
     """Per run: the highest seq seen, and the ranges below it that are still missing."""
 
@@ -95,33 +99,46 @@ class _Missing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._top = handle.getValueState("top", "top long", self._keep_ms)
-        self._open = handle.getMapState("open", "first long", "last long", self._keep_ms)
+        self._open = handle.getMapState("open", "slot long", "first binary, last binary", self._keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         top = self._top.get()[0] if self._top.exists() else 0
         seqs = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(pdf["seq"].dropna().to_numpy(dtype=np.int64) for pdf in rows)]))
         late, new = seqs[(seqs <= top) & (seqs > 0)], seqs[seqs > top]
+        held = {slot: (np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64)) for (slot,), (a, b) in self._open.iterator()} if len(late) and self._open.exists() else {}
+        first, last = (np.concatenate([np.zeros(0, dtype=np.int64), *(held[slot][c] for slot in sorted(held))]) for c in (0, 1))
         out = []
-        if len(late) and self._open.exists():
-            for (first,), (last,) in sorted(self._open.iterator()):
-                inside = late[(late >= first) & (late <= last)]
-                if not len(inside):
-                    continue
-                self._open.removeKey((first,))
-                edges = np.concatenate([[first - 1], inside, [last + 1]])
-                for a, b in zip(edges[:-1], edges[1:]):
-                    if b - a > 1:
-                        self._open.updateValue((int(a) + 1,), (int(b) - 1,))
-                cut = np.flatnonzero(np.diff(inside) > 1)
+        if len(first):
+            at = np.searchsorted(first, late, "right") - 1
+            inside = late[(at >= 0) & (late <= last[at])]
+            # What is left of the ranges: both ends in order, without the empty ones.
+            first, last = np.sort(np.concatenate([first, inside + 1])), np.sort(np.concatenate([last, inside - 1]))
+            first, last = first[first <= last], last[first <= last]
+            cut = np.flatnonzero(np.diff(inside) > 1)
+            if len(inside):
                 out += [(int(a), int(b), "closed") for a, b in zip(inside[np.append(0, cut + 1)], inside[np.append(cut, len(inside) - 1)])]
         if len(new):
             before = np.append(top, new[:-1])
-            for a, b in zip(before[new - before > 1], new[new - before > 1]):
-                self._open.updateValue((int(a) + 1,), (int(b) - 1,))
-                out.append((int(a) + 1, int(b) - 1, "missing"))
+            gap = new - before > 1
+            out += [(int(a) + 1, int(b) - 1, "missing") for a, b in zip(before[gap], new[gap])]
+            first, last = np.concatenate([first, before[gap] + 1]), np.concatenate([last, new[gap] - 1])
             self._top.update((int(new[-1]),))
+        self._store(first, last, held)
         yield pd.DataFrame({"run": [key[0]] * len(out), "first": [o[0] for o in out], "last": [o[1] for o in out], "event": [o[2] for o in out]})
 
+    def _store(self, first: np.ndarray, last: np.ndarray, held: dict) -> None:
+        """Ranges by slots of their first seq: one state call a slot, not one a range. Without ``held`` they join the open ones."""
+        slots, starts = np.unique(first // SLOT, return_index=True)
+        for slot, a, b in zip(slots.tolist(), np.split(first, starts[1:]), np.split(last, starts[1:])):
+            if slot not in held and self._open.containsKey((slot,)):
+                (x, y) = self._open.getValue((slot,))
+                a, b = np.concatenate([np.frombuffer(x, dtype=np.int64), a]), np.concatenate([np.frombuffer(y, dtype=np.int64), b])
+            elif slot in held and np.array_equal(held[slot][0], a) and np.array_equal(held[slot][1], b):
+                continue
+            self._open.updateValue((slot,), (a.tobytes(), b.tobytes()))
+        for slot in set(held) - set(slots.tolist()):
+            self._open.removeKey((slot,))
+
     def close(self) -> None:
         pass
 
@@ -130,7 +147,7 @@ def stream_missing(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(run, first, last, event): ranges of seqs that are missing, and those of them that late records close.
 
     Seqs count from 1, in any order of arrival; repeated ones report nothing. What is missing and not closed lacks in the
-    log. The state is one number per run and one entry per open range; with ``keep_ms`` a run's state goes when it was
+    log. The state is one number per run and 16 bytes per open range; with ``keep_ms`` a run's state goes when it was
     not touched for that long. Needs the RocksDB state store.
     """
     return stream.select("run", "seq").where("run IS NOT NULL").groupBy("run").transformWithStateInPandas(

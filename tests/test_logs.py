@@ -141,3 +141,54 @@ def test_retrieval(spark):
     assert toks == ["silhouette", "0", "15", "聚", "类", "质", "量", "差"]
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id int, x array<double>")
     assert [(r["id"], r["score"]) for r in rt.cosine_topk(vec, [2.0, 0.0], 2).collect()] == [(1, 1.0), (3, 0.7071)]
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Map(dict):
+    calls = 0
+
+    def exists(self):
+        return bool(self)
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    containsKey, getValue = dict.__contains__, dict.__getitem__
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_open_ranges_cost_few_state_calls():
+    import numpy as np
+    import pandas as pd
+
+    from cellsift.streaming import logs as st
+
+    step, seqs, left = st._Missing(None), np.random.default_rng(0).permutation(np.arange(1, 30_001)), 0
+    step._top, step._open = _Value(), _Map()
+    seen = set()
+    for part in np.split(seqs[:29_000], [7_000, 16_000, 23_000]):
+        for events in step.handleInputRows(("r",), iter([pd.DataFrame({"seq": part})]), None):
+            left += int(((events["last"] - events["first"] + 1) * np.where(events["event"] == "missing", 1, -1)).sum())
+        seen |= set(part.tolist())
+        assert left == max(seen) - len(seen)
+    assert step._open.calls < 20
