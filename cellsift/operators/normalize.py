@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cellsift.session import durable
+
 
 def normalize_log(
     expr: DataFrame, target_sum: float = 1e4, cell: str = "cell_id", count: str = "count", out: str = "norm"
@@ -65,6 +67,8 @@ def gene_moments(norm: DataFrame, n_cells, by=(), gene: str = "gene_id", value:
 
 
 def _dispersions(moments: DataFrame, by, bins: int) -> DataFrame:
+    # Stored, so that range, bins, spreads and picks read the same sums: one row a gene (and batch).
+    moments = durable(moments)
     floor = "greatest(IF(mean = 0, 1e-12D, mean), 1e-12D)"
     scored = moments.selectExpr(
         "*",

@@ -146,3 +146,17 @@ def test_percent_is_rounded_once(spark):
     expr = spark.createDataFrame([("c", "MT-1", 7.0), ("c", "g", 18.0)], "cell_id string, gene_id string, count double")
     # 100 * (7 / 25) is above 28, so the value would fall into the next bin.
     assert qc.qc_metrics(expr, {"mt": qc.MITO_PATTERN, "cp": qc.CHLORO_PATTERN}).first()["pct_mt"] == 28.0
+
+
+def test_variable_genes_read_their_moments_once(spark):
+    """Values that change with every reading: a gene alone in its bin still scores exactly 1, and picks follow the scores."""
+    import random
+
+    noisy = F.udf(lambda v: v + random.random() * 0.01, "double").asNondeterministic()
+    rows = [(c, f"g{g}", float(1 + g + (c * (g + 3)) % 7)) for c in range(40) for g in range(12)]
+    norm = spark.createDataFrame(rows, "cell_id int, gene_id string, v double").select("cell_id", "gene_id", noisy(F.log1p("v")).alias("norm"))
+    got = nz.select_variable_genes(norm, 40, n_top=4, bins=500).collect()
+    alone = [r for r in got if abs(r["dispersion_norm"] - 1) < 0.5]
+    assert len(alone) >= 6 and {r["dispersion_norm"] for r in alone} == {1.0}
+    order = sorted(got, key=lambda r: (-r["dispersion_norm"], r["gene_id"]))
+    assert [r["highly_variable"] for r in order] == [True] * 4 + [False] * 8
