@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from cellsift.operators import blocks
 from cellsift.operators.distribution import describe
-from cellsift.operators.hot import hot_join, least_neighbors
+from cellsift.operators.hot import hot_bound, hot_join, least_neighbors
 from cellsift.session import durable
 
 
@@ -112,15 +112,60 @@ def graph_stats(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataF
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, component): smallest id reachable; a node without edges is its own component.
+    """(id, component): smallest id reachable; a node without edges is its own component. One direction of an edge is enough.
+
+    Of many links each node first keeps two, which already join most of a component; all links are then read once
+    more, and those between two such parts are solved the same way, see ``_lowest``.
+    """
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    found = _lowest(durable(edges.where("src <> dst").select(high.alias("a"), low.alias("b"))))
+    ids = nodes.select(F.col(id_col).alias("id"))
+    return ids.join(found.select(F.col("a").alias("id"), F.col("b").alias("_low")), "id", "left").select(
+        "id", F.coalesce("_low", "id").alias("component"))
+
+
+def _lowest(links: DataFrame) -> DataFrame:
+    """(a, b): every node of ``links`` (stored, a > b) but the smallest of its component, with that smallest node.
+
+    Each node picks its links to the smallest and the largest neighbour, and stars solve these picks. A link whose ends
+    got the same node is done; the others become links between these nodes. As every node picks, there are at most half
+    as many nodes each time. A hub's links are not gathered: its node is broadcast.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = durable(both.groupBy("a").agg(F.min("b").alias("_l"), F.max("b").alias("_h"), F.count("*").alias("_n")))
+    size = ends.agg(F.count("*"), F.sum("_n")).first()
+    rows = (size[1] or 0) // 2
+    if rows <= 4 * size[0]:
+        return _stars(durable(links.distinct()))
+    picks = ends.select("a", F.explode(F.array("_l", "_h")).alias("b"))
+    found = _stars(durable(picks.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    names = durable(ends.join(found, "a", "left").select("a", "_n", F.coalesce("b", "a").alias("m")))
+    hubs = names.where(F.col("_n") >= hot_bound(rows))
+    few, left = hubs.count(), links
+    for end in ("a", "b"):
+        named = names.select(F.col("a").alias(end), F.col("m").alias(f"_{end}"))
+        if few:
+            seen = left.join(F.broadcast(hubs.select(F.col("a").alias(end), F.col("m").alias("_hub"))), end, "left")
+            near = seen.where("_hub IS NOT NULL").withColumnRenamed("_hub", f"_{end}")
+            left = durable(near.unionByName(seen.where("_hub IS NULL").drop("_hub").join(named, end)))
+        else:
+            left = left.join(named, end)
+    rest = durable(left.where("_a <> _b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct())
+    if rest.isEmpty():
+        return found
+    more = _lowest(rest)
+    joined = hot_join(found, durable(more.select(F.col("a").alias("b"), F.col("b").alias("m"))), ["b"])
+    return durable(joined.select("a", F.coalesce("m", "b").alias("b")).unionByName(more))
+
+
+def _stars(now: DataFrame) -> DataFrame:
+    """(a, b) as ``_lowest``, of stored distinct links.
 
     Two-phase stars, until nothing changes: every node passes the smallest id of its neighbourhood to its larger
     neighbours, then a node and its smaller neighbours take the smallest of these. The links are stored every round,
     so the plan does not grow and a lost executor costs one round. The minima are combined before the shuffle, and a
     hub's links are not gathered (see ``least_neighbors``), so no task holds a hub.
     """
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    now = durable(edges.where("src <> dst").select(high.alias("a"), low.alias("b")).distinct())
     rows, mark = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -131,12 +176,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame, id_col: str = "id")
             small.select("a", F.col("m").alias("b"))).distinct())
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == mark:
-            break
+            # Every larger node now has one link, to the smallest node of its component.
+            return now
         rows, mark = new[0], new
-    # Every larger node now has one link, to the smallest node of its component.
-    ids = nodes.select(F.col(id_col).alias("id"))
-    return ids.join(now.select(F.col("a").alias("id"), F.col("b").alias("_low")), "id", "left").select(
-        "id", F.coalesce("_low", "id").alias("component"))
 
 
 def clustering_coefficient(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:

@@ -171,6 +171,23 @@ def test_components_with_hubs(spark, monkeypatch):
     assert got == {**{x: low[root(x)] for x in parent}, -1: -1}
 
 
+@pytest.mark.parametrize("least", [64, 4])
+def test_components_of_many_links(spark, monkeypatch, least):
+    """Dense groups, joined by few links: the stars get two links a node at most, and every other link still counts."""
+    monkeypatch.setattr(hot, "LEAST", least)
+    rng, sizes, stars = np.random.default_rng(5), [], nb._stars
+    monkeypatch.setattr(nb, "_stars", lambda links: sizes.append(links.count()) or stars(links))
+    groups = [[f"{kind}{g}_{i}" for kind in "ps" for i in range(30)] for g in range(8)]
+    pairs = [(str(a), str(b)) for g in groups for a, b in zip(rng.choice(g[:30], 700), rng.choice(g[30:], 700))]
+    pairs += [("p0_7", "s1_9"), ("s1_5", "s2_5"), ("p2_20", "p3_20"), ("p5_3", "s6_3")]
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(5)
+    ids = sorted({x for p in pairs for x in p} | {"z"})
+    got = {r["id"]: r["component"] for r in nb.connected_components(edges, spark.createDataFrame([(x,) for x in ids], "id string")).collect()}
+    team = {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 5, 7: 7}
+    want = {x: min(y for y in ids if y != "z" and team[int(y[1])] == team[int(x[1])]) for x in ids if x != "z"}
+    assert got == {**want, "z": "z"} and max(sizes) <= 2 * len(ids)
+
+
 def test_hot_join(spark, monkeypatch):
     monkeypatch.setattr(hot, "LEAST", 5)
     rows = [(1, i) for i in range(40)] + [(2, 0), (None, 1), (None, 2), (3, 3)] + [(None, i) for i in range(10, 30)] + [(9, i) for i in range(50)]
