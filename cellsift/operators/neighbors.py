@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from cellsift.operators import blocks
@@ -27,30 +25,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0.0))
 
 
-def _block_search(k: int, kind):
-    """(schema, function): the k nearest right rows of every left row, for one pair of blocks."""
-    schema = T.StructType([T.StructField("id", kind), T.StructField("nbr", kind), T.StructField("dist", T.DoubleType())])
-
-    def near(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-        right = right.sort_values("rid", kind="stable")
-        la, rb = left["id"].to_numpy(), right["rid"].to_numpy()
-        d = np.round(_distances(np.array(left["x"].tolist(), dtype=float), np.array(right["rx"].tolist(), dtype=float)), 12)
-        d[la[:, None] == rb[None, :]] = np.inf
-        if k < d.shape[1]:
-            # Everything below the k-th distance, then ties in id order until k are taken.
-            kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-            less, tie = d < kth, d == kth
-            keep = less | (tie & (np.cumsum(tie, axis=1) <= k - less.sum(1, keepdims=True)))
-        else:
-            keep = np.ones(d.shape, dtype=bool)
-        i, j = np.nonzero(keep & np.isfinite(d))
-        return pd.DataFrame({"id": la[i], "nbr": rb[j], "dist": d[i, j]})
-
-    return schema, near
-
-
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("id").orderBy("dist", "nbr")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -63,12 +37,17 @@ def knn_join(points: DataFrame, k: int = 15, id_col: str = "id", vec: str = "x",
     nearer point than its own, see ``blocks``. Of equal vectors the k + 1 smallest ids meet the others: no further copy can be
     a neighbour of anything, and it has the neighbours of the first. Rows with a null vector or id are left out.
     """
+    return without_copies(points, k, id_col, vec, lambda kept: blocks.nearest(kept, k, block, pivots))
+
+
+def without_copies(points: DataFrame, k: int, id_col: str, vec: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, nbr, dist, rank) of all rows by a ``search`` of stored rows (id, x) that hold at most k + 1 copies of a vector."""
     held = durable(points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("x")).where("id IS NOT NULL AND x IS NOT NULL"))
     keyed = held.withColumn("_h", F.xxhash64("x"))
     # row_number() <= k + 1 is cut before the shuffle, so copies do not move whole.
     copies = keyed.withColumn("_n", F.row_number().over(W.partitionBy("_h", "x").orderBy("id")))
     kept = durable(copies.where(F.col("_n") <= k + 1))
-    found = durable(_top(blocks.nearest(kept.select("id", "x"), k, block, pivots), k))
+    found = durable(search(kept.select("id", "x")))
     if kept.count() == held.count():
         return found
     heads = kept.where("_n = 1").select("_h", "x", F.col("id").alias("_first"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellsift.operators import ann
+from cellsift.operators import ann, blocks
 from cellsift.operators import bootstrap as bs
 from cellsift.operators import embedding as em
 from cellsift.operators import hot
@@ -218,6 +218,41 @@ def test_approximate_neighbors(spark, monkeypatch, fitted, leaf):
     assert (got.dist <= kth[got.id] + 1e-9).mean() > 0.9 and got.id.nunique() == 900
 
 
+def test_approximate_neighbors_without_structure(spark):
+    """Random directions: no small share of the rows holds the neighbours, and recall is reached all the same."""
+    x = np.random.default_rng(2).normal(size=(6_000, 48))
+    got = ann.knn_approx(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>"), 10, leaf=16).toPandas()
+    d = np.sqrt(np.maximum(blocks.squares(x, x), 0))
+    np.fill_diagonal(d, np.inf)
+    kth = np.partition(d, 9, axis=1)[:, 9]
+    assert len(got) == 60_000 and (got.dist <= kth[got.id] + 1e-9).mean() > 0.9
+    assert (got.sort_values(["id", "dist"])["rank"].to_numpy().reshape(-1, 10) == np.arange(1, 11)).all()
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-3, 1e4), (1e15, 0.0), (1e25, 0.0)])
+def test_short_numbers_lose_no_pair(scale, shift):
+    rng = np.random.default_rng(6)
+    a, b = (rng.normal(size=(n, 5)) * scale + shift for n in (64, 200))
+    b[:8] = a[:8]
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    far = np.sort(d, axis=1)[:, 6]
+    far[:8], far[8:16] = 0.0, np.inf
+    i, j = blocks.Side(b, np.arange(200)).near(a, far)
+    found = set(zip(i.tolist(), j.tolist()))
+    assert found >= set(zip(*map(np.ndarray.tolist, np.nonzero(d <= far[:, None])))) and len(found) <= 2 * (8 * 200 + 56 * 8)
+
+
+def test_blocks_send_only_neighbors_back(spark):
+    """What a row finds is merged by block: one row a neighbour, not one a neighbour and tile."""
+    x = np.random.default_rng(8).normal(size=(700, 12))
+    points = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, x array<double>").localCheckpoint()
+    got = blocks.nearest(points, 4, block=20).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 2_800
+    assert {(r.id, r.rank): r.nbr for r in got.itertuples()} == {(f"r{i:03d}", n + 1): f"r{j:03d}" for i in range(700) for n, j in enumerate(np.argsort(d[i])[:4])}
+
+
 def test_approximate_neighbors_of_few(spark):
     none = spark.createDataFrame([], "id long, x array<double>")
     assert ann.knn_approx(none).collect() == []
