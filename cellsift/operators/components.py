@@ -114,7 +114,7 @@ def _less(rows: DataFrame, off: np.ndarray, scale: Column | None = None) -> Data
 
 def principal_components(
     long: DataFrame, k: int = 50, cell: str = "cell_id", feature: str = "gene_id", value: str = "scaled_raw",
-    extra: int = EXTRA, rounds: int = ROUNDS, seed: int = 0,
+    extra: int = EXTRA, rounds: int = ROUNDS, seed: int = 0, distinct: bool = False,
 ) -> Components:
     """Components of the covariance of a sparse matrix (cell, feature, value); cells are those with a value.
 
@@ -124,11 +124,13 @@ def principal_components(
     made orthonormal by a tall-skinny QR. The driver holds matrices of k + ``extra`` columns and rows only. Scores are rows
     times loadings, means left in. The largest loading of a component is positive (the first feature by name on ties).
 
-    A (cell, feature) pair that stands repeatedly is summed. Null values and keys are left out. With fewer directions than k,
+    A (cell, feature) pair that stands repeatedly is summed; ``distinct`` says that none does, and rows then stay where they
+    are: where a cell's rows lie together, its sums meet before the shuffle. Null values and keys are left out. With fewer directions than k,
     fewer components come; an empty table has none.
     """
-    held = durable(long.select(F.col(cell).alias("_c"), F.col(feature).alias("_f"), F.col(value).cast("double").alias("_v")).where(
-        "_c IS NOT NULL AND _f IS NOT NULL AND _v IS NOT NULL").groupBy("_c", "_f").agg(F.sum("_v").alias("_v")))
+    given = long.select(F.col(cell).alias("_c"), F.col(feature).alias("_f"), F.col(value).cast("double").alias("_v")).where(
+        "_c IS NOT NULL AND _f IS NOT NULL AND _v IS NOT NULL")
+    held = durable(given if distinct else given.groupBy("_c", "_f").agg(F.sum("_v").alias("_v")))
     size = held.count()
     n = held.select("_c").distinct().count()
     means = durable(held.groupBy("_f").agg((F.sum("_v") / n).alias("_m"), F.sum(F.col("_v") * F.col("_v")).alias("_q"))) if n else held.select("_f", F.col("_v").alias("_m"), F.col("_v").alias("_q"))

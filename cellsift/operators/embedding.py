@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from cellsift.operators import blocks
 from cellsift.operators.distribution import describe, gini
+from cellsift.operators.hot import hot_join
 from cellsift.operators.neighbors import knn_join
 from cellsift.session import durable
 
@@ -22,13 +23,16 @@ def sample_rows(points: DataFrame, n: int | None, seed: int = 0, id_col: str = "
 
 
 def sparse_scaled(norm: DataFrame, n_cells: int, max_value: float = 10.0, gene: str = "gene_id", value: str = "norm") -> DataFrame:
-    """Values clipped at mean + max_value spreads, over the spread: scaling without centring."""
-    v = F.col(value)
+    """Values clipped at mean + max_value spreads, over the spread: scaling without centring.
+
+    ``norm`` is stored, as it is read twice; rows of a gene with much of the table stay where they are.
+    """
+    v, norm = F.col(value), durable(norm.where(F.col(gene).isNotNull()))
     sums = norm.groupBy(gene).agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
     stats = sums.select(gene, (F.col("_s") / n_cells).alias("_m"), F.sqrt(F.greatest(
         (F.col("_q") - F.col("_s") * F.col("_s") / n_cells) / (n_cells - 1), F.lit(0.0))).alias("_d"))
     sd = F.when(F.col("_d") == 0, 1.0).otherwise(F.col("_d"))
-    return norm.join(stats, gene).withColumn("scaled_raw", F.least(v, F.col("_m") + max_value * sd) / sd).drop("_m", "_d")
+    return hot_join(norm, stats, [gene], "inner").withColumn("scaled_raw", F.least(v, F.col("_m") + max_value * sd) / sd).drop("_m", "_d")
 
 
 def variance_explained(ratios: DataFrame) -> DataFrame:

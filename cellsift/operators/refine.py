@@ -188,26 +188,29 @@ def doublet_scores(
 
     Simulated cells are sums of two cells picked by seeded hash. Cells and simulated
     cells are embedded together, and the neighbours of each are counted.
+
+    The matrix is read once; from then on cells go by their number in the order of their names, simulated ones after
+    them. A cell's rows are brought together once and stay so, which keeps its sums out of later shuffles.
     """
-    cells = expr.select(F.col(cell).cast("string").alias("_c")).distinct().withColumn("_one", F.lit(1).cast("long"))
+    base = durable(expr.select(F.col(cell).cast("string").alias("_c"), gene, count))
+    cells = base.select("_c").distinct().withColumn("_one", F.lit(1).cast("long"))
     numbered = durable(running(cells, [], ["_c"], {"_i": ("sum", "_one")}).select("_c", (F.col("_i") - 1).alias("_i")))
     n = numbered.count()
     n_sim = max(int(n * ratio), 1)
     pick = lambda part: F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(part)), F.lit(n))
-    sims = expr.sparkSession.range(n_sim).select(
-        F.concat(F.lit("sim"), F.col("id").cast("string")).alias("_c2"), F.explode(F.array(pick(0), pick(1))).alias("_i"))
-    base = expr.select(F.col(cell).cast("string").alias("_c"), gene, count)
-    made = sims.join(numbered, "_i").join(base, "_c").groupBy(F.col("_c2").alias("_c"), gene).agg(F.sum(count).alias(count))
-    both = base.unionByName(made)
-    normed = durable(normalize_log(both, cell="_c", count=count))
-    scaled = sparse_scaled(normed, n + n_sim, gene=gene)
-    points = durable(principal_components(scaled, pcs, cell="_c", feature=gene).scores)
+    sims = expr.sparkSession.range(n_sim).select((F.col("id") + n).alias("_s"), F.explode(F.array(pick(0), pick(1))).alias("_i"))
+    real = base.join(numbered, "_c").select("_i", gene, count)
+    made = real.join(sims, "_i").select(F.col("_s").alias("_i"), gene, count)
+    both = real.unionByName(made).repartition("_i").groupBy("_i", gene).agg(F.sum(count).alias(count))
+    normed = normalize_log(both, cell="_i", count=count).select("_i", gene, "norm")
+    scaled = sparse_scaled(normed, n + n_sim, gene=gene).select("_i", gene, "scaled_raw")
+    points = durable(principal_components(scaled, pcs, cell="_i", feature=gene, distinct=True).scores)
     k_all = max(int(round(k * (1 + ratio))), 1)
     near = knn_join(points, k_all)
-    share = near.groupBy("id").agg(F.count_if(F.col("nbr").startswith("sim")).alias("_s"))
+    share = near.groupBy("id").agg(F.count_if(F.col("nbr") >= n).alias("_s")).join(numbered, F.col("id") == F.col("_i"), "left")
     q = (F.col("_s") + 1) / F.lit(k_all + 2.0)
     score = q * rate / ratio / (1 - rate - q * (1 - rate - rate / ratio))
-    return share.select("id", F.col("id").startswith("sim").alias("simulated"), score.alias("score"))
+    return share.select(F.coalesce("_c", F.concat(F.lit("sim"), F.col("id") - n)).alias("id"), (F.col("id") >= n).alias("simulated"), score.alias("score"))
 
 
 def call_doublets(scores: DataFrame) -> DataFrame:

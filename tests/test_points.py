@@ -345,3 +345,43 @@ def test_trustworthiness_ranks_ties_by_id(spark):
     k, n = 5, 150.0
     want = 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * np.maximum(high - k, 0)[low <= k].sum()
     assert em.trustworthiness(df, k).first()[0] == pytest.approx(want, abs=1e-12)
+
+
+def test_doublets_read_the_matrix_once(spark):
+    """Every row of the matrix is computed once, and cells keep their names whatever these are."""
+    rng = np.random.default_rng(3)
+    x = rng.poisson(2, (90, 12))
+    i, j = np.nonzero(x)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        reads.add(1)
+        return v
+
+    df = spark.createDataFrame(pd.DataFrame({"cell_id": [f"sim{v}" for v in i], "gene_id": [f"g{v}" for v in j], "count": x[i, j].astype(float)}))
+    got = rf.doublet_scores(df.withColumn("count", F.udf(seen, "double").asNondeterministic()("count")), ratio=0.5, k=6, pcs=3).toPandas()
+    assert sorted(got[~got["simulated"]]["id"]) == sorted({f"sim{v}" for v in i}) and got["simulated"].sum() == 45
+    assert reads.value == len(i)
+
+
+def test_nearest_in_wide_tiles(spark):
+    """Tiles of up to 62 blocks: a row of 880 blocks travels 15 times, not 55, and finds what brute force finds."""
+    assert blocks.tile(880, 2048, 10, 1_800_000, blocks.MASK) == 62
+    x = np.random.default_rng(5).random((1500, 2))
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(1500), "x": x.tolist()})).localCheckpoint()
+    got = blocks.nearest(points, 4, block=20).toPandas().sort_values(["id", "rank"])
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 12)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert (got["nbr"].to_numpy().reshape(1500, 4) == want).all()
+
+
+def test_distinct_pairs_stay(spark):
+    """Rows said to be distinct give the same components, and their sums by cell leave a task once a cell."""
+    rows = [(c, f"f{f}", float((c * 7 + f * 3) % 11 + 1)) for c in range(60) for f in range(9)]
+    df = spark.createDataFrame(rows, "c int, f string, v double").repartition(4, "c")
+    one = principal_components(df, 3, "c", "f", "v")
+    two = principal_components(df, 3, "c", "f", "v", distinct=True)
+    assert np.allclose(one.variances, two.variances)
+    a, b = (np.array([r["x"] for r in got.scores.orderBy("id").collect()]) for got in (one, two))
+    assert np.allclose(a, b)
