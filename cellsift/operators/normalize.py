@@ -99,12 +99,17 @@ def _dispersions(moments: DataFrame, by, bins: int) -> DataFrame:
     )
 
 
+def _ranking(gene: str) -> list:
+    """Highest score first. Both genes of a bin of two score 1 / sqrt(2) from 0, but for rounding: digits beyond the eighth don't tell genes apart, names do."""
+    return [F.round("dispersion_norm", 8).desc_nulls_last(), F.col(gene)]
+
+
 def select_variable_genes(
     norm: DataFrame, n_cells: int, n_top: int = 2000, bins: int = 20, gene: str = "gene_id", value: str = "norm"
 ) -> DataFrame:
-    """Gene table with mean, dispersion, normalised dispersion and ``highly_variable``."""
+    """Gene table with mean, dispersion, normalised dispersion and ``highly_variable``; ties go to the gene name."""
     scored = _dispersions(gene_moments(norm, n_cells, (), gene, value), (), bins)
-    top = scored.orderBy(F.col("dispersion_norm").desc_nulls_last(), gene).limit(n_top)
+    top = scored.orderBy(*_ranking(gene)).limit(n_top)
     return scored.join(
         top.select(gene, F.lit(True).alias("highly_variable")), gene, "left"
     ).withColumn("highly_variable", F.coalesce("highly_variable", F.lit(False)))
@@ -122,7 +127,7 @@ def select_variable_genes_by_batch(
     joined = norm.join(batches.select(cell, batch), cell)
     scored = _dispersions(gene_moments(joined, sizes, (batch,), gene, value), (batch,), bins)
     # rank <= n_top is cut before the shuffle, so a batch never moves whole.
-    w = W.partitionBy(batch).orderBy(F.col("dispersion_norm").desc_nulls_last(), gene)
+    w = W.partitionBy(batch).orderBy(*_ranking(gene))
     picked = (
         scored.select(batch, gene, "dispersion_norm", F.row_number().over(w).alias("_r"))
         .where(F.col("_r") <= n_top)
@@ -134,7 +139,7 @@ def select_variable_genes_by_batch(
         gene, (F.col("_s") / n_batches).alias("dispersion_norm")
     )
     merged = merged.join(picked, gene, "left").withColumn("n_batches", F.coalesce("n_batches", F.lit(0)))
-    top = merged.orderBy(F.col("n_batches").desc(), F.col("dispersion_norm").desc(), gene).limit(n_top)
+    top = merged.orderBy(F.col("n_batches").desc(), *_ranking(gene)).limit(n_top)
     return merged.join(top.select(gene, F.lit(True).alias("highly_variable")), gene, "left").withColumn(
         "highly_variable", F.coalesce("highly_variable", F.lit(False))
     )

@@ -160,3 +160,31 @@ def test_variable_genes_read_their_moments_once(spark):
     assert len(alone) >= 6 and {r["dispersion_norm"] for r in alone} == {1.0}
     order = sorted(got, key=lambda r: (-r["dispersion_norm"], r["gene_id"]))
     assert [r["highly_variable"] for r in order] == [True] * 4 + [False] * 8
+
+
+def _pairs(spark, pairs=12, cells=64):
+    """Twelve bins of two genes each: both score 1 / sqrt(2) from 0, so the upper ones tie."""
+    rows = []
+    for p in range(pairs):
+        for side in range(2):
+            name = f"g{(p * 5) % pairs:02d}{'ab'[side]}"
+            for c in range(cells):
+                value = 40.0 * 1.5**p * (1 + 0.01 * side) * (1 + (0.3 + 0.05 * ((p + side) % 3) + 0.037 * side) * ((c * 7 + p) % 5 - 2))
+                rows.append((c, name, float(np.log1p(value))))
+    return spark.createDataFrame(rows, "cell_id int, gene_id string, norm double")
+
+
+def _tied(scored):
+    return sorted(r["gene_id"] for r in scored if abs(r["dispersion_norm"] - 0.5**0.5) < 1e-8)
+
+
+def test_variable_genes_of_bins_of_two_tie(spark):
+    """The scores differ by rounding only, so names decide who is picked."""
+    norm = _pairs(spark)
+    got = nz.select_variable_genes(norm, 64, n_top=5, bins=60).collect()
+    tied = _tied(got)
+    assert len(tied) == 12 and len({r["dispersion_norm"] for r in got if r["gene_id"] in tied}) > 1
+    assert sorted(r["gene_id"] for r in got if r["highly_variable"]) == tied[:5]
+    cells = norm.select("cell_id", F.lit("x").alias("batch")).distinct()
+    by = nz.select_variable_genes_by_batch(norm, cells, n_top=5, bins=60).collect()
+    assert sorted(r["gene_id"] for r in by if r["highly_variable"]) == tied[:5]
