@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cellsift.operators import markers as mk
 from cellsift.operators import normalize as nz
 from cellsift.operators import qc
+from cellsift.operators import summaries as sm
 from cellsift.sources import guards
 
 
@@ -188,3 +189,12 @@ def test_variable_genes_of_bins_of_two_tie(spark):
     cells = norm.select("cell_id", F.lit("x").alias("batch")).distinct()
     by = nz.select_variable_genes_by_batch(norm, cells, n_top=5, bins=60).collect()
     assert sorted(r["gene_id"] for r in by if r["highly_variable"]) == tied[:5]
+
+
+def test_variable_distributions_follow_names(spark):
+    """The means of the kept genes are those of the tied genes first by name."""
+    got = nz.select_variable_genes(_pairs(spark), 64, n_top=5, bins=60)
+    rows = got.collect()
+    want = [r["mean"] for r in rows if r["gene_id"] in _tied(rows)[:5]]
+    row = sm.variable_distributions(got).where("variable = 'mean'").first()
+    assert (row["n"], row["mean"], row["max"]) == (5, pytest.approx(np.mean(want), rel=1e-5), pytest.approx(max(want), rel=1e-5))
